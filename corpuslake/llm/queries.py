@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import long_spans, mixing, tree_split, visual_form
+from corpuslake.llm import long_spans, mixing, neighbours, tree_split, truncation, visual_form
 from corpuslake.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return tree_split.split_oversized(read_table(spark, d, "chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, d, "vision_results")).where("is_cut").select("result_id")
+
+
+def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_by_source(truncation.truncated(read_table(spark, d, "vision_results")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.mutual_pairs(read_table(spark, d, "chunk_vectors")).select("id_a", "id_b")
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_lists(read_table(spark, d, "chunk_vectors"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
