@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import long_spans, mixing, neighbours, tree_split, truncation, visual_form
+from corpuslake.llm import leakage, long_spans, mixing, neighbours, tree_split, truncation, visual_form
 from corpuslake.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,18 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_lists(read_table(spark, d, "chunk_vectors"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("kind = 'verbatim' and longest_run >= 12").select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.contaminated(_leaks(spark, d), read_table(spark, d, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
