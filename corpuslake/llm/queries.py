@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import leakage, long_spans, mixing, neighbours, tree_split, truncation, visual_form
+from corpuslake.llm import leakage, line_quality, long_spans, mixing, neighbours, tree_split, truncation, visual_form
 from corpuslake.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,17 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_lists(read_table(spark, d, "chunk_vectors"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    quality = line_quality.line_quality(read_table(spark, d, "page_text"))
+    return line_quality.not_prose(quality).select(F.col("key").alias("row_id"))
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    quality = line_quality.line_quality(read_table(spark, d, "page_text")).withColumnRenamed("key", "row_id")
+    graded = read_table(spark, d, "text_quality").where("row_id is not null").groupBy("row_id")
+    return quality.join(graded.agg(F.max_by(F.struct("status", "stats"), F.struct("graded_at", "status")).alias("recorded")), "row_id", "left").select(*quality.columns, F.col("recorded.status").alias("recorded_status"), F.col("recorded.stats").alias("recorded_stats"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
