@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import leakage, line_quality, long_spans, mixing, neighbours, tree_split, truncation, visual_form
+from corpuslake.llm import encodings, leakage, line_quality, long_spans, mixing, neighbours, tree_split, truncation, visual_form
 from corpuslake.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,17 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.join(graded.agg(F.max_by(F.struct("status", "stats"), F.struct("graded_at", "status")).alias("recorded")), "row_id", "left").select(*quality.columns, F.col("recorded.status").alias("recorded_status"), F.col("recorded.stats").alias("recorded_stats"))
 
 
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_records([
+        ("page_text", read_table(spark, d, "page_text"), "row_id", "text"),
+        ("extracted_pages", read_table(spark, d, "extracted_pages"), "extract_id", "text"),
+    ])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).select("table_name", "record_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
