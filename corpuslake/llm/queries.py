@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import encodings, leakage, line_quality, long_spans, mixing, neighbours, tree_split, truncation, visual_form
+from corpuslake.llm import encodings, leakage, line_quality, long_spans, mixing, neighbours, scan_noise, tree_split, truncation, visual_form
 from corpuslake.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.defects(read_table(spark, d, "extracted_pages"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repair(read_table(spark, d, "extracted_pages"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.look_alike_pairs([
         ("page_text", read_table(spark, d, "page_text"), "row_id", "text", None),
