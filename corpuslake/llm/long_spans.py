@@ -60,44 +60,47 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(doc, page, pos, edge, left, right): kept k-mers with the text beside them, as far as it can matter."""
-    side = span - k
+    """(doc, page, pos, edge): the kept k-mers of every record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple] = []
-            for doc, page, text in zip(b["doc"], b["page"], b["text"], strict=True):
-                h = kmer_hashes(text, k)
-                for p in winnow(h, span - k).tolist():
-                    out.append((doc, page, p, int(h[p].astype(np.int64)), text[max(0, p - side) : p], text[p + k : p + k + side]))
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["doc", "page", "pos", "edge", "left", "right"])
-                    out = []
-            yield pd.DataFrame(out, columns=["doc", "page", "pos", "edge", "left", "right"])
+            for a in range(0, len(b), 500):
+                part = b.iloc[a : a + 500]
+                places, hashes = [], []
+                for text in part["text"]:
+                    h = kmer_hashes(text, k)
+                    at = winnow(h, span - k)
+                    places.append(at)
+                    hashes.append(h[at])
+                n = [len(x) for x in places]
+                yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), n), "page": np.repeat(part["page"].to_numpy(), n), "pos": np.concatenate(places).astype(np.int32), "edge": np.concatenate(hashes).view(np.int64)})
 
-    return docs.mapInPandas(run, "doc bigint, page string, pos int, edge bigint, left string, right string")
+    return docs.mapInPandas(run, "doc bigint, page string, pos int, edge bigint")
 
 
 def _paths(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(path, doc, page, start, end, left, right): each compacted path where it occurs; ``end`` is where its last edge starts."""
-    edges = _edges(docs, span, k)
+    """(path, doc, page, start, end, left, right): each compacted path where it occurs, with the text beside it as far as it can matter; ``end`` is where its last edge starts."""
+    edges = cut_lineage(_edges(docs, span, k))
     pages = edges.groupBy("edge").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("edge")
     rows = cut_lineage(edges.join(pages, "edge", "left_semi"))
     along = Window.partitionBy("doc").orderBy("pos")
-    near = rows.select("doc", "pos", "edge", F.lead(F.struct("edge", "pos")).over(along).alias("n"), F.lag(F.struct("edge", "pos")).over(along).alias("p"))
+    near = rows.select("doc", "page", "pos", "edge", F.lead(F.struct("edge", "pos")).over(along).alias("n"), F.lag(F.struct("edge", "pos")).over(along).alias("p"))
     # A link is the neighbour's edge and its distance; neighbours further off than the window aren't linked.
-    near = near.select("doc", "pos", "edge", F.when(F.col("n.pos") - F.col("pos") <= span - k, F.struct("n.edge", (F.col("n.pos") - F.col("pos")).alias("step"))).alias("n"), F.when(F.col("pos") - F.col("p.pos") <= span - k, F.struct("p.edge", (F.col("pos") - F.col("p.pos")).alias("step"))).alias("p"))
-    one = lambda c: (F.min(F.coalesce(F.xxhash64(f"{c}.edge", f"{c}.step"), F.lit(0))) == F.max(F.coalesce(F.xxhash64(f"{c}.edge", f"{c}.step"), F.lit(0)))) & (F.count(c) > 0) & (F.count(c) == F.count("*"))
+    step = lambda c, d: F.when(d <= span - k, F.struct(f"{c}.edge", d.alias("step"))).alias(c)
+    near = near.select("doc", "page", "pos", "edge", step("n", F.col("n.pos") - F.col("pos")), step("p", F.col("pos") - F.col("p.pos")))
+    link = lambda c: F.coalesce(F.xxhash64(f"{c}.edge", f"{c}.step"), F.lit(0))
+    one = lambda c: (F.min(link(c)) == F.max(link(c))) & (F.count(c) == F.count("*"))
     degree = near.groupBy("edge").agg(one("n").alias("one_out"), one("p").alias("one_in"))
-    near = near.join(degree, "edge")
+    joined = near.select("doc", "page", "pos", "edge").join(degree, "edge")
     # The link to the edge before is unbranched if that edge has one way out and this one a single way in.
-    joined = near.select("doc", "pos", "edge", (F.col("one_in") & F.lag("one_out").over(along)).alias("solid"))
-    begins = joined.withColumn("begin", F.when(F.coalesce("solid", F.lit(False)), 0).otherwise(1))
+    solid = F.col("one_in") & F.lag("one_out").over(along)
+    begins = joined.select("doc", "page", "pos", "edge", F.when(F.coalesce(solid, F.lit(False)), 0).otherwise(1).alias("begin"))
     begins = begins.withColumn("nr", F.sum("begin").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = begins.groupBy("doc", "nr").agg(F.min_by("edge", "pos").alias("path"), F.min("pos").alias("start"), F.max("pos").alias("end"))
-    first = rows.select("doc", "page", F.col("pos").alias("start"), "left")
-    last = rows.select("doc", F.col("pos").alias("end"), "right")
-    return spans.join(first, ["doc", "start"]).join(last, ["doc", "end"]).select("path", "doc", "page", "start", "end", "left", "right")
+    spans = begins.groupBy("doc", "page", "nr").agg(F.min_by("edge", "pos").alias("path"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+    side = span - k
+    left = F.substring("text", F.greatest(F.lit(0), F.col("start") - side) + 1, F.least(F.lit(side), F.col("start")))
+    right = F.substring("text", F.col("end") + k + 1, F.lit(side))
+    return spans.join(docs.select("doc", "text"), "doc").select("path", "doc", "page", "start", "end", left.alias("left"), right.alias("right"))
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", group: str = "page_id", text: str = "text", span: int = 200, k: int = 100) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.session import cut_lineage
+
 _PAIRS = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "¿": "?", "¡": "!", "‹": "›"}
 _CLOSERS = set(_PAIRS.values())
 _END = ".!?؟۔。"
@@ -124,10 +126,10 @@ def truncated(replies: DataFrame) -> DataFrame:
     Neither finish_reason nor completion_tokens is read, since both mislead. A reply
     without a source is judged by the baseline of all sources.
     """
-    states = _states(replies)
+    states = cut_lineage(_states(replies))
     all_sources = states.agg(F.try_divide(F.sum("ended"), F.sum("inner")).alias("everywhere"))
     by = states.groupBy("source_id").agg(F.sum("ended").alias("e"), F.sum("inner").alias("i")).where("source_id is not null")
-    lexicon = _lexicon(replies)
+    lexicon = cut_lineage(_lexicon(replies))
     asked = states.where("state = 'word' and word <> ''").select("word").distinct()
     own = lexicon.join(asked, "word")
     starts = lexicon.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), F.col("n").alias("longer"))
