@@ -180,9 +180,11 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, rank: int = RANK, c
     item_words = [words_of(t) for t in listed["text"]]
     cache: dict[str, int] = {}
     windows, slots, at = [], [], []
+    # Every third window: any other shares all but one of its words with one of these.
     for i, w in enumerate(item_words):
         s = np.array([_slot(x, cache) for x in w], np.int64)
-        for a in range(max(1, len(w) - run + 1)) if len(w) else []:
+        last = max(0, len(w) - run)
+        for a in sorted({*range(0, last + 1, 3), last}) if len(w) else []:
             slots.append(s[a : a + run])
             at.append(np.full(len(slots[-1]), len(windows)))
             windows.append((i, a))
@@ -191,8 +193,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, rank: int = RANK, c
     r, s, x = _weights(np.concatenate(slots), np.concatenate(at), len(windows), idf)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     latent = unit(_project(r, s, x, len(windows), basis)).T.copy()
-    item_of = np.array([i for i, _ in windows])
-    needles = [" " + " ".join(item_words[i][a : a + run]) + " " for i, a in windows]
+    item_of = [i for i, _ in windows]
+    needles = [{" ".join(w[a : a + run]) for a in range(max(1, len(w) - run + 1))} for w in item_words]
     ids = listed["item_id"].tolist()
     typical = float(np.median(idf[np.concatenate(slots)]))
     answers = [{w for w in ws if idf[_slot(w, cache)] >= typical + 1} for ws in item_words]
@@ -211,20 +213,26 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, rank: int = RANK, c
                 p = unit(_project(r, s, x, len(where), basis))
                 keys = part["doc_id"].tolist()
                 best: dict[tuple[int, int], list] = {}
-                for c in range(0, len(p), 2000):
-                    near = p[c : c + 2000] @ latent
-                    for row, col in zip(*np.nonzero(near >= cosine), strict=True):
+                runs: dict[int, set[str]] = {}
+                for c in range(0, len(p), 1000):
+                    near = p[c : c + 1000] @ latent
+                    hits = np.flatnonzero(near.ravel() >= cosine)
+                    for row, col, value in zip((hits // near.shape[1]).tolist(), (hits % near.shape[1]).tolist(), near.ravel()[hits].tolist(), strict=True):
                         i, start = where[c + row]
-                        item = int(item_of[col])
+                        item = item_of[col]
                         known = best.get((i, item))
                         if known and known[0] >= run:
                             continue
-                        passage = words[i][start : start + 2 * run]
-                        value = float(near[row, col])
-                        if needles[col] in " " + " ".join(passage) + " ":
-                            best[i, item] = [min(run, len(item_words[item])), value, "verbatim"]
-                            if len(item_words[item]) >= run:
-                                best[i, item][0] = run
+                        size = min(run, len(item_words[item]))
+                        if size == run:
+                            if (have := runs.get(c + row)) is None:
+                                passage = words[i][start : start + 2 * run]
+                                have = runs[c + row] = {" ".join(passage[x : x + run]) for x in range(len(passage) - run + 1)}
+                            hit = not have.isdisjoint(needles[item])
+                        else:
+                            hit = any(f" {x} " in f" {' '.join(words[i][start : start + 2 * run])} " for x in needles[item])
+                        if hit:
+                            best[i, item] = [size, value, "verbatim"]
                         elif known is None and value >= 0.85 and len(item_words[item]) >= 6:
                             wide = words[i][max(0, start - run) : start + 3 * run]
                             if len(answers[item] & set(wide)) * 2 >= len(answers[item]) and _lcs(item_words[item], wide) >= paraphrase * len(item_words[item]):

@@ -32,8 +32,10 @@ _END = re.compile("[.!?؟۔:”»\"][”»\"')\\]]*\\s*$")
 _SOFT_END = re.compile("[,;،؛—-]\\s*$")
 _ODD = re.compile("[/\\\\+=#@^~<>{}_*&%$|\\[\\]\x00-\x08\x0b-\x1f\x7f-�□▯■]")
 _TOKEN = re.compile(r"[^\W_]+")
-_VOWELS = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ]", re.I)
-_LATIN = re.compile("^[a-zA-Z]+$")
+_DIGIT = re.compile(r"\d")
+# Words of three letters or more without a vowel, and words that mix letters and digits.
+_UNSPOKEN = re.compile(r"(?<![^\W_])[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{3,}(?![^\W_])")
+_BENT = re.compile(r"(?<![^\W_])(?:[A-Za-z]+\d|\d+[A-Za-z])[A-Za-z\d]*(?![^\W_])")
 _PAGE_NUMBER = re.compile(r"^\W*(?:[^\W\d_]{1,8}\.?\s*)?\d{1,4}\W*(?:/\s*\d{1,4})?\W*$|^\W*[ivxlc]{1,7}\W*$", re.I)
 
 
@@ -44,16 +46,13 @@ def line_figures(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], in
     solid = max(1, len(line) - line.count(" "))
     known = sum(w in common for w in map(str.lower, words))
     odd = len(_ODD.findall(line))
-    digits = sum(c.isdigit() for c in line) if n else 0
+    digits = len(_DIGIT.findall(line))
     bad = 0
     if n > 2 or size > 12:
-        for w in words:
-            if len(w) > 2 and w.isascii() and (not _VOWELS.search(w) if _LATIN.match(w) else w[0].isalpha() != w[-1].isalpha() and not w.isdigit() or any(c.isdigit() for c in w) and any(c.isalpha() for c in w)):
-                bad += 1
+        bad = len(_UNSPOKEN.findall(line)) + (len(_BENT.findall(line)) if digits else 0)
         if n >= 8 and sum(len(w) == 1 for w in words) * 5 > 3 * n:
             bad = n  # letters standing apart
-        heads = {w[:1] for w in words}
-        if n >= 8 and len(heads) <= max(1, n // 8) or size > 40 and n <= 2 and not line.strip().isalpha():
+        if n >= 8 and not known and len({w[:1] for w in words}) <= max(1, n // 8) or size > 40 and n <= 2 and not line.strip().isalpha():
             bad = n
     mark = 1 if _MARK.match(line) else 2 if _DIALOGUE.match(line) else 0
     end = 1 if _END.search(line) else 2 if _SOFT_END.search(line) else 0
@@ -183,8 +182,10 @@ def _lines(texts: list[str | None], common: frozenset[str]):
 
 
 def fit_lines(docs: DataFrame, text: str, common: frozenset[str], sample: int = SAMPLE) -> LineModel:
-    """The model from at most ``sample`` documents, chosen by a hash of their text."""
-    picked = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(sample).toPandas()
+    """The model from about ``sample`` documents, twice that at most, chosen by a hash of their text."""
+    rows = docs.where(F.col(text).isNotNull())
+    share = min(1.0, sample / max(1, docs.count()))
+    picked = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) <= int(share * (1 << 20))).select(F.col(text).alias("t")).limit(2 * sample).toPandas().sort_values("t")
     figures, lengths, _, _ = _lines(list(picked["t"]), common)
     return LineModel().fit(figures, lengths) if len(figures) else LineModel()
 

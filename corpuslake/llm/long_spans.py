@@ -115,6 +115,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", group: str = "page_id", t
     if not 0 < k < span:
         raise ValueError("k must be below span")
     rows = docs.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.concat(F.lit("r"), F.col(key).cast("string"))).alias("page"), F.col(text).alias("text"))
+    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("doc").agg(F.max(F.struct("text", "page")).alias("x")).select("doc", "x.page", "x.text")
     paths = cut_lineage(_paths(rows, span, k))
     groups = paths.select("path", "page").distinct()
     a, b = groups.withColumnRenamed("page", "page_a"), groups.withColumnRenamed("page", "page_b")
