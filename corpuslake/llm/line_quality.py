@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("prose", "list", "table", "junk")
-SAMPLE, COMMON_SHARE, ROUNDS = 3000, 0.0008, 4
+SAMPLE, COMMON_SHARE, ROUNDS = 3000, 0.0025, 4
 #: Values of each figure of a line.
 SIZES = (3, 3, 6, 5, 4, 4, 3, 4)
 _MARK = re.compile(r"\s*(?:[-*•·–▪◦‣○●■]|\(?\d{1,3}[.)]|\d{1,2}(?:\.\d{1,2})+\.?|\(?[a-zA-Zа-яء-ي][.)]|\(?[ivx]{1,5}[.)])\s+\S")
@@ -30,7 +30,7 @@ _FILL = re.compile(r"\.{4,}|…{2,}|_{3,}|(?:\. ){4,}|·{4,}")
 _GLOSS = re.compile(r"^[^:.!?]{1,40}:\s+\S[^.!?]*$|^[^\d,.!?]{1,40}(?:,\s*\d{1,4}(?:[-–]\d{1,4})?)+$")
 _END = re.compile("[.!?؟۔:”»\"][”»\"')\\]]*\\s*$")
 _SOFT_END = re.compile("[,;،؛—-]\\s*$")
-_ODD = re.compile("[/\\\\+=#@^~<>{}_*&%$|\\[\\]\x00-\x08\x0b-\x1f\x7f-�□▯■]")
+_ODD = re.compile("[/\\\\+=#@^~<>{}_*&%$|\\[\\]\x00-\x08\x0b-\x1f\x7f\ue000-\uf8ff□▯■]")
 _TOKEN = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
 # Words of three letters or more without a vowel, and words that mix letters and digits.
@@ -52,14 +52,14 @@ def line_figures(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], in
         bad = len(_UNSPOKEN.findall(line)) + (len(_BENT.findall(line)) if digits else 0)
         if n >= 8 and sum(len(w) == 1 for w in words) * 5 > 3 * n:
             bad = n  # letters standing apart
-        if n >= 8 and not known and len({w[:1] for w in words}) <= max(1, n // 8) or size > 40 and n <= 2 and not line.strip().isalpha():
+        if n >= 8 and len({w[:1].lower() for w in words}) == 1 or size > 40 and n <= 2 and not line.strip().isalpha():
             bad = n
     mark = 1 if _MARK.match(line) else 2 if _DIALOGUE.match(line) else 0
     end = 1 if _END.search(line) else 2 if _SOFT_END.search(line) else 0
     length = 0 if n < 2 else 1 if n < 4 else 2 if n < 7 else 3 if n < 11 else 4 if n < 30 else 5
     cells = 2 if _FILL.search(line) else 1 if _CELLS.search(line) else 3 if _GLOSS.match(line) else 4 if n and digits * 3 > size and n > 2 else 0
     share = digits / solid
-    part = odd / solid
+    part = 1.0 if not n and solid > 6 and not digits else odd / solid
     figures = (
         mark, end, length, cells,
         0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3,
@@ -79,7 +79,7 @@ def plain_state(f: tuple[int, ...]) -> int:
         return 2
     if mark == 1 or cells in (2, 3) or length <= 1 and not end and not known and digits == 0:
         return 1
-    if length >= 2 and (end == 1 and known or known >= 2):
+    if length >= 2 and (end == 1 and known or known >= 2) or length >= 3 and mark != 1 and not cells and odd < 2 and not bad and digits < 2:
         return 0
     return -1
 
@@ -132,9 +132,10 @@ class LineModel:
         known = plain >= 0
         state = np.where(known, plain, labels if labels is not None else -1)
         ok = state >= 0
+        weight = np.where(known, 1.0, np.where(state == 3, 0.0, 0.5))  # junk is learned from plain junk alone
         for i, n in enumerate(SIZES):
             c = np.full((4, n), 2.0)
-            np.add.at(c, (state[ok], figures[ok, i]), 1)
+            np.add.at(c, (state[ok], figures[ok, i]), weight[ok])
             self.emit[i] = np.log(c / c.sum(axis=1, keepdims=True))
         first = np.zeros(len(figures), bool)
         first[np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0].astype(int)] = True
