@@ -30,7 +30,7 @@ _FILL = re.compile(r"\.{4,}|…{2,}|_{3,}|(?:\. ){4,}|·{4,}")
 _GLOSS = re.compile(r"^[^:.!?]{1,40}:\s+\S[^.!?]*$|^[^\d,.!?]{1,40}(?:,\s*\d{1,4}(?:[-–]\d{1,4})?)+$")
 _END = re.compile("[.!?؟۔:”»\"][”»\"')\\]]*\\s*$")
 _SOFT_END = re.compile("[,;،؛—-]\\s*$")
-_ODD = re.compile("[/\\\\+=#@^~<>{}_*&%$|\\[\\]\x00-\x08\x0b-\x1f\x7f\ue000-\uf8ff□▯■]")
+_ODD = re.compile("[/\\\\+=#@^~<>{}_*&%$\\[\\]\x00-\x08\x0b-\x1f\x7f\ue000-\uf8ff□▯■]")
 _TOKEN = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
 # Words of three letters or more without a vowel, and words that mix letters and digits.

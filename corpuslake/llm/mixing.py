@@ -56,16 +56,17 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256,
 
     ``targets``: source, target_share, max_repeats; few rows, one per source. Sources
     without a positive share, and records with a null source, are left out. A source with
-    a target but without tokens makes the mix impossible and gives no rows. Records with
-    the same key, or with a null key, are records of their own.
+    a target but without tokens can give nothing; the others then keep their targets' ratio.
+    Records with the same key, or with a null key, are records of their own.
     """
     aims = targets.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats")
     sized = cut_lineage(token_counts(docs.where(F.col("source").isNotNull()), "doc_id", "text", ["source"], vocabulary))
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     # As many rows as there are targets: the total is the greatest that every source can carry.
     plan = aims.join(sums, "source", "left").withColumn("can", F.coalesce("tokens", F.lit(0)) * F.col("max_repeats") / F.col("target_share"))
-    total = plan.agg(F.min("can").alias("total"), F.sum("target_share").alias("all_shares"))
-    plan = plan.crossJoin(F.broadcast(total)).where("total > 0 and tokens > 0")  # one row on the right
+    plan = plan.where("can > 0")
+    total = plan.agg(F.min("can").alias("total"))
+    plan = plan.crossJoin(F.broadcast(total))  # one row on the right
     plan = plan.select("source", F.least(F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double")).alias("expected"))
 
     cell = ["source", "n_tokens", "bucket"]

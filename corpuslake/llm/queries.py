@@ -113,5 +113,22 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+P3_FOUND = """SELECT id FROM (SELECT id, arg_max(content, seq) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id) WHERE length(content) > 2000"""
+
+P5_FOUND = """WITH v AS (SELECT id, max(embedding)::DOUBLE[] AS e FROM chunk_vectors WHERE id IS NOT NULL AND len(embedding) = 64 GROUP BY id),
+    f AS (SELECT id, e FROM v WHERE list_dot_product(e, e) > 0),
+    d AS (SELECT a.id AS a, b.id AS b, list_cosine_distance(a.e, b.e) AS d FROM f a, f b WHERE a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS n FROM d)
+    SELECT x.a AS id_a, x.b AS id_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.n <= 5 AND y.n <= 5 AND x.d <= 0.03 AND x.a < x.b"""
+
+P8_FOUND = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+    dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+    ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+P10_FOUND = """WITH s AS (SELECT DISTINCT doc_id, page_id, substr(text, k, 200) AS t FROM (SELECT doc_id, page_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200))
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b USING (t) WHERE a.doc_id < b.doc_id AND a.page_id IS DISTINCT FROM b.page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p10_found": P10_FOUND}

@@ -1,0 +1,23 @@
+import glob
+import os
+
+import pytest
+
+from corpuslake.llm import queries as Q
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for p in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    df = Q.queries()[name](spark, data)
+    cur = c.execute(Q.oracle_sql()[name])
+    at = [[x[0] for x in cur.description].index(n) for n in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+def test_runs(spark, data, name):
+    assert Q.queries()[name](spark, data).count() > 0
