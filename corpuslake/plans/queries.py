@@ -92,7 +92,7 @@ def l2_normalized(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = ["river", "bridge", "lumière", "garten", "montaña", "museum", "planet"]
 
 
-@query("vocabulary_embedding", "SELECT doc_id, " + ", ".join(f"0.01 + 3 * len(regexp_extract_all(lower(coalesce(text, '')), '{w}')) AS w{i}" for i, w in enumerate(_WORDS)) + " FROM documents")
+@query("vocabulary_embedding", "SELECT doc_id, " + ", ".join(f"0.01::DOUBLE + 3::DOUBLE * len(regexp_extract_all(lower(coalesce(text, '')), '{w}')) AS w{i}" for i, w in enumerate(_WORDS)) + " FROM documents")
 def vocabulary_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = V.vocabulary_embedding(F.col("text"), _WORDS)
     return _read(spark, d, "documents").withColumn("v", v).select("doc_id", *(F.col("v")[i].alias(f"w{i}") for i in range(len(_WORDS))))
