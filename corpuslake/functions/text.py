@@ -10,7 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,45 +65,47 @@ def clean_text(c: Column) -> Column:
     return normalize_light(_sub(_fold(c), "[\\x{640}\\x{fffd}]", ""))
 
 
-def assess(c: Column, cleaned: Column | None = None) -> Column:
-    """struct<status, reasons, chars, and shares>: the grade of a text layer; null counts as empty.
+def grade(df: DataFrame, text: str, out: str = "grade") -> DataFrame:
+    """Adds struct<status, reasons, chars, and shares>: the grade of a text layer; null counts as empty.
 
     Accented Latin letters count as signs of a wrong decoding unless the text is Arabic,
-    as the grader that is matched here has it.
+    as the grader that is matched here has it. The counts are columns of their own, in
+    steps, so that none is worked out twice.
     """
-    raw = F.coalesce(c, F.lit(""))
-    solid = _sub(raw, SPACE, "")
-    n = F.length(solid)
-    count = lambda p: F.regexp_count(solid, F.lit(p))
-    share = lambda k: F.when(n > 0, F.round(k / n, 4)).otherwise(F.lit(0.0))
-    glyph = F.length(raw) - F.length(_sub(raw, GLYPH, ""))
-    s = {
-        "arabic": share(count(ARABIC)),
-        "letters": share(F.regexp_count(_sub(solid, MOJIBAKE, ""), F.lit("[\\p{L}\\p{N}]"))),
-        "glyph": share(glyph),
-        "control": share(count(CONTROL)),
-        "pua": share(count("[\\x{e000}-\\x{f8ff}]")),
-        "fffd": share(count("\\x{fffd}")),
-        "mojibake": share(count(MOJIBAKE)),
+    keep = df.columns
+    col = lambda n: F.col(f"__{n}")
+    raw = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keep, raw.alias("__raw"), _sub(raw, SPACE, "").alias("__solid"), F.coalesce(clean_text(F.col(text)), F.lit("")).alias("__clean"))
+    count = lambda p: F.regexp_count(col("solid"), F.lit(p))
+    words = F.filter(F.split(col("raw"), f"{SPACE}+"), lambda w: w.rlike("\\p{L}"))
+    counts = {
+        "arabic": count(ARABIC),
+        "letters": F.regexp_count(_sub(col("solid"), MOJIBAKE, ""), F.lit("[\\p{L}\\p{N}]")),
+        "glyph": F.when(col("raw").contains("/"), F.length(col("raw")) - F.length(_sub(col("raw"), GLYPH, ""))).otherwise(0),
+        "control": count(CONTROL),
+        "pua": count("[\\x{e000}-\\x{f8ff}]"),
+        "fffd": count("\\x{fffd}"),
+        "mojibake": count(MOJIBAKE),
     }
-    words = F.filter(F.split(raw, f"{SPACE}+"), lambda w: w.rlike("\\p{L}"))
-    single = F.size(F.filter(words, lambda w: F.length(w) == 1))
-    alone = F.when(F.size(words) >= LEAST_WORDS, F.round(single / F.size(words), 4))
-    why = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    junk = F.concat(
-        why(s["glyph"] >= LIMITS["glyph"], "glyph-names"),
-        why(s["control"] >= LIMITS["control"], "control-chars"),
-        why(s["pua"] >= LIMITS["pua"], "private-use"),
-        why((s["mojibake"] >= LIMITS["mojibake"]) & (s["arabic"] < LIMITS["arabic_floor"]), "mojibake"),
-        why(s["fffd"] >= LIMITS["fffd"], "replacement-chars"),
+    rows = rows.select(*keep, F.length(col("solid")).alias("__n"), *(v.alias(f"__{k}") for k, v in counts.items()), words.alias("__words"), (F.regexp_count(col("clean"), F.lit("[\\p{L}\\p{N}]")) < LEAST_LETTERS).alias("__empty"))
+    share = lambda k: F.when(col("n") > 0, F.round(col(k) / col("n"), 4)).otherwise(F.lit(0.0)).alias(f"__{k}")
+    single = F.size(F.filter(col("words"), lambda w: F.length(w) == 1))
+    rows = rows.select(*keep, "__n", "__empty", *(share(k) for k in counts), F.when(F.size(col("words")) >= LEAST_WORDS, F.round(single / F.size(col("words")), 4)).alias("__alone"))
+    why = lambda cond, name: F.when(cond, F.lit(name))
+    listed = lambda *c: F.array_compact(F.array(*c))
+    junk = listed(
+        why(col("glyph") >= LIMITS["glyph"], "glyph-names"),
+        why(col("control") >= LIMITS["control"], "control-chars"),
+        why(col("pua") >= LIMITS["pua"], "private-use"),
+        why((col("mojibake") >= LIMITS["mojibake"]) & (col("arabic") < LIMITS["arabic_floor"]), "mojibake"),
+        why(col("fffd") >= LIMITS["fffd"], "replacement-chars"),
     )
-    junk = F.when((n > 0) & (F.size(junk) == 0) & (s["letters"] < LIMITS["letters"]), F.array(F.lit("few-letters"))).otherwise(junk)
-    text = F.coalesce(cleaned if cleaned is not None else clean_text(c), F.lit(""))
-    empty = F.regexp_count(text, F.lit("[\\p{L}\\p{N}]")) < LEAST_LETTERS
-    weak = F.concat(why(s["fffd"] >= LIMITS["fffd_degraded"], "replacement-chars"), why(F.coalesce(alone >= LIMITS["single"], F.lit(False)), "broken-words"))
-    status = F.when(F.size(junk) > 0, "junk").when(empty, "empty").when(F.size(weak) > 0, "degraded").otherwise("ok")
-    reasons = F.when(F.size(junk) > 0, junk).when(empty, F.array(F.lit("no-text"))).otherwise(weak)
-    return F.struct(status.alias("status"), reasons.alias("reasons"), n.alias("chars"), *(v.alias(k) for k, v in s.items()), alone.alias("single_letter_words"))
+    weak = listed(why(col("fffd") >= LIMITS["fffd_degraded"], "replacement-chars"), why(col("alone") >= LIMITS["single"], "broken-words"))
+    rows = rows.withColumns({"__junk": junk, "__weak": weak})
+    few = (F.size(col("junk")) == 0) & (col("n") > 0) & (col("letters") < LIMITS["letters"])
+    reasons = F.when(F.size(col("junk")) > 0, col("junk")).when(few, F.array(F.lit("few-letters"))).when(col("empty"), F.array(F.lit("no-text"))).otherwise(col("weak"))
+    status = F.when((F.size(col("junk")) > 0) | few, "junk").when(col("empty"), "empty").when(F.size(col("weak")) > 0, "degraded").otherwise("ok")
+    return rows.select(*keep, F.struct(status.alias("status"), reasons.alias("reasons"), col("n").alias("chars"), *(col(k).alias(k) for k in counts), col("alone").alias("single_letter_words")).alias(out))
 
 
 # Query parameters that carry secrets, and the length at which a body is cut.

@@ -301,19 +301,19 @@ _GRADE = f"""WITH r AS (SELECT row_id, coalesce(text, '') AS raw, {_chain_sql("r
     s AS (SELECT *, regexp_replace(raw, '{SPACE_SQL}', '', 'g') AS solid FROM r),
     c AS (SELECT *, length(solid) AS n, {_COUNT.format(T.MOJIBAKE)} AS mojibake, {_COUNT.format(T.ARABIC)} AS arabic, {_COUNT.format(T.CONTROL)} AS control, {_COUNT.format("[\\x{e000}-\\x{f8ff}]")} AS pua, {_COUNT.format("\\x{fffd}")} AS fffd,
         len(regexp_extract_all(regexp_replace(solid, '{T.MOJIBAKE}', '', 'g'), '[\\p{{L}}\\p{{N}}]')) AS letters FROM s)
-    SELECT row_id, n AS chars, CASE WHEN n > 0 THEN round(mojibake / n, 4) ELSE 0 END AS mojibake, CASE WHEN n > 0 THEN round(arabic / n, 4) ELSE 0 END AS arabic, CASE WHEN n > 0 THEN round(control / n, 4) ELSE 0 END AS control,
-    CASE WHEN n > 0 THEN round(pua / n, 4) ELSE 0 END AS pua, CASE WHEN n > 0 THEN round(fffd / n, 4) ELSE 0 END AS fffd, CASE WHEN n > 0 THEN round(letters / n, 4) ELSE 0 END AS letters FROM c"""
+    SELECT row_id, n AS chars, CASE WHEN n > 0 THEN round(mojibake * 10000 / n) / 10000 ELSE 0 END AS mojibake, CASE WHEN n > 0 THEN round(arabic * 10000 / n) / 10000 ELSE 0 END AS arabic, CASE WHEN n > 0 THEN round(control * 10000 / n) / 10000 ELSE 0 END AS control,
+    CASE WHEN n > 0 THEN round(pua * 10000 / n) / 10000 ELSE 0 END AS pua, CASE WHEN n > 0 THEN round(fffd * 10000 / n) / 10000 ELSE 0 END AS fffd, CASE WHEN n > 0 THEN round(letters * 10000 / n) / 10000 ELSE 0 END AS letters FROM c"""
 
 
 @query("text_grade_shares", _GRADE)
 def text_grade_shares(spark: SparkSession, d: str) -> DataFrame:
-    g = _read(spark, d, "page_text").select("row_id", T.assess(F.col("text")).alias("g"))
+    g = T.grade(_read(spark, d, "page_text").select("row_id", "text"), "text", "g")
     return g.select("row_id", F.col("g.chars").cast("bigint").alias("chars"), *(F.col(f"g.{k}").alias(k) for k in ("mojibake", "arabic", "control", "pua", "fffd", "letters")))
 
 
 @query("text_grade")
 def text_grade(spark: SparkSession, d: str) -> DataFrame:
-    g = _read(spark, d, "page_text").select("row_id", T.assess(F.col("text")).alias("g"))
+    g = T.grade(_read(spark, d, "page_text").select("row_id", "text"), "text", "g")
     return g.select("row_id", "g.status", F.array_join("g.reasons", ",").alias("reasons"))
 
 
