@@ -57,7 +57,10 @@ def line_figures(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], in
     mark = 1 if _MARK.match(line) else 2 if _DIALOGUE.match(line) else 0
     end = 1 if _END.search(line) else 2 if _SOFT_END.search(line) else 0
     length = 0 if n < 2 else 1 if n < 4 else 2 if n < 7 else 3 if n < 11 else 4 if n < 30 else 5
-    cells = 2 if _FILL.search(line) else 1 if _CELLS.search(line) else 3 if _GLOSS.match(line) else 4 if n and digits * 3 > size and n > 2 else 0
+    # Plain tests first: few lines hold what the patterns look for.
+    filled = ("...." in line or "…" in line or "___" in line or ". . " in line or "···" in line) and _FILL.search(line)
+    celled = ("|" in line or "   " in line or "\t" in line or ";" in line) and _CELLS.search(line)
+    cells = 2 if filled else 1 if celled else 3 if _GLOSS.match(line) else 4 if n and digits * 3 > size and n > 2 else 0
     share = digits / solid
     part = 1.0 if not n and solid > 6 and not digits else odd / solid
     figures = (
