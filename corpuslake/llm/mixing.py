@@ -65,8 +65,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256,
     # As many rows as there are targets: the total is the greatest that every source can carry.
     plan = aims.join(sums, "source", "left").withColumn("can", F.coalesce("tokens", F.lit(0)) * F.col("max_repeats") / F.col("target_share"))
     plan = plan.where("can > 0")
-    total = plan.agg(F.min("can").alias("total"))
-    plan = plan.crossJoin(F.broadcast(total))  # one row on the right
+    plan = plan.withColumn("total", plan.agg(F.min("can")).scalar())
     plan = plan.select("source", F.least(F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double")).alias("expected"))
 
     cell = ["source", "n_tokens", "bucket"]
@@ -95,6 +94,5 @@ def reached_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"),
         F.max("copies").alias("most_used"),
     )
-    total = by.agg(F.sum("tokens").alias("total"))
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").crossJoin(F.broadcast(total))  # one row on the right
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").withColumn("total", by.agg(F.sum("tokens")).scalar())
     return out.select("source", "target_share", "max_repeats", "records", "copies", "tokens", "most_used", F.try_divide("tokens", "total").alias("reached_share"))

@@ -127,7 +127,7 @@ def truncated(replies: DataFrame) -> DataFrame:
     without a source is judged by the baseline of all sources.
     """
     states = cut_lineage(_states(replies))
-    all_sources = states.agg(F.try_divide(F.sum("ended"), F.sum("inner")).alias("everywhere"))
+    everywhere = states.agg(F.coalesce(F.try_divide(F.sum("ended"), F.sum("inner")), F.lit(1.0)).alias("everywhere")).scalar()
     by = states.groupBy("source_id").agg(F.sum("ended").alias("e"), F.sum("inner").alias("i")).where("source_id is not null")
     lexicon = cut_lineage(_lexicon(replies))
     asked = states.where("state = 'word' and word <> ''").select("word").distinct()
@@ -135,8 +135,8 @@ def truncated(replies: DataFrame) -> DataFrame:
     starts = lexicon.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), F.col("n").alias("longer"))
     longer = starts.join(asked, "word", "left_semi").groupBy("word").agg(F.max("longer").alias("longer"))
     fragments = own.join(longer, "word").where("inside < 0.25 * n and longer >= 4 * n").select("word", F.lit(True).alias("fragment"))
-    rows = states.join(by, "source_id", "left").join(fragments, "word", "left").crossJoin(F.broadcast(all_sources))  # one row on the right
-    usual = (F.coalesce("e", F.lit(0)) + 3 * F.coalesce("everywhere", F.lit(1.0))) / (F.coalesce("i", F.lit(0)) + 3)
+    rows = states.join(by, "source_id", "left").join(fragments, "word", "left")
+    usual = (F.coalesce("e", F.lit(0)) + 3 * everywhere) / (F.coalesce("i", F.lit(0)) + 3)
     cut = (F.col("state") == "cut") | ((F.col("state") == "terminator") & (usual >= 0.5)) | ((F.col("state") == "word") & F.coalesce("fragment", F.lit(False)))
     return rows.select("result_id", "source_id", cut.alias("is_cut"), F.when(cut, F.col("reason")).alias("reason"))
 
