@@ -19,9 +19,8 @@ def page(chunks: DataFrame, condition: Column, limit: int = 50, offset: int = 0)
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be 1..500 and offset 0 or more")
     rows = chunks.where(condition)
-    total = rows.agg(F.count("*").alias("total"))
     shown = chunk_view(rows).orderBy("seq").offset(offset).limit(limit)
-    return shown.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # one row on the right
+    return shown.withColumn("total", rows.agg(F.count("*")).scalar()).withColumn("has_more", F.col("total") > offset + limit)
 
 
 def result_rows(rows: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def by_notebook(chunks: DataFrame) -> DataFrame:
 def totals(chunks: DataFrame) -> DataFrame:
     """One row; a source that stands in two notebooks counts twice."""
     rows = _keyed(chunks)
-    pairs = rows.select("notebook", "source_key").distinct().agg(F.count("*").alias("sources"), F.count_distinct("notebook").alias("notebooks"))
-    return rows.agg(*tally(), F.count_if(F.col("notebook") == NO_NOTEBOOK).alias("chunks_without_notebook")).crossJoin(F.broadcast(pairs))  # one row each
+    pairs = F.count_distinct(F.struct("notebook", "source_key")).alias("sources")
+    return rows.agg(*tally(), F.count_if(F.col("notebook") == NO_NOTEBOOK).alias("chunks_without_notebook"), pairs, F.count_distinct("notebook").alias("notebooks"))
 
 
 def levels(chunks: DataFrame) -> DataFrame:
