@@ -205,7 +205,7 @@ def line_quality(docs: DataFrame, key: str = "row_id", text: str = "text", sampl
     common = common_words(docs, text)
     model = fit_lines(docs, text, common, sample)
     shared = docs.sparkSession.sparkContext.broadcast((common, model))
-    schema = f"key {docs.schema[key].dataType.simpleString()}, words int, mean_word_length double, symbol_ratio double, ended_lines double, common_share double, prose double, list_part double, table_part double, junk double, kind string"
+    schema = "key string, words int, mean_word_length double, symbol_ratio double, ended_lines double, common_share double, prose double, list_part double, table_part double, junk double, kind string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +228,9 @@ def line_quality(docs: DataFrame, key: str = "row_id", text: str = "text", sampl
             values = [b["key"].to_numpy(), w[:, 0].astype(np.int32), w[:, 1] / count, w[:, 2] / total, w[:, 4] / n, w[:, 3] / count, *(by / total[:, None]).T, kind]
             yield pd.DataFrame(dict(zip(names, values, strict=True)))
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    # Keys travel as text, since a null among whole numbers would make them floats.
+    out = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return out.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
 
 
 def not_prose(quality: DataFrame) -> DataFrame:

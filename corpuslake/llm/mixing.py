@@ -41,14 +41,16 @@ def _encoder(path: str):
 def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """key, the kept columns and n_tokens; null and empty texts have 0 tokens. Texts are encoded whole."""
     columns = [key, *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    kinds = ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = _encoder(vocabulary)
         for b in batches:
             yield b[columns].assign(n_tokens=[len(e.encode_ordinary(t)) if t else 0 for t in b["__text"]])
 
-    return docs.select(*columns, F.col(text).alias("__text")).mapInPandas(run, f"{kinds}, n_tokens bigint")
+    # Columns travel as text, since a null among whole numbers would make them floats.
+    out = docs.select(*(F.col(c).cast("string").alias(c) for c in columns), F.col(text).alias("__text")).mapInPandas(run, f"{kinds}, n_tokens bigint")
+    return out.withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in columns})
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

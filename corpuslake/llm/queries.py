@@ -130,5 +130,8 @@ P10_FOUND = """WITH s AS (SELECT DISTINCT doc_id, page_id, substr(text, k, 200)
     SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b USING (t) WHERE a.doc_id < b.doc_id AND a.page_id IS DISTINCT FROM b.page_id"""
 
 
+P8_ITEMS = f"SELECT i.item_id, i.benchmark, count(DISTINCT l.doc_id) AS documents FROM eval_items i JOIN ({P8_FOUND}) l ON l.item_id = i.item_id GROUP BY i.item_id, i.benchmark"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p10_found": P10_FOUND}
+    return {"p8_leaked_items": P8_ITEMS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p10_found": P10_FOUND}

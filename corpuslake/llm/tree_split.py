@@ -83,8 +83,8 @@ def split_text(text: str, limit: int = 2000, overlap: int = 150) -> list[tuple[s
 
 
 def latest(chunks: DataFrame, key: str = "id", version: str = "seq") -> DataFrame:
-    """The valid row of each key: that of the highest version. Rows with a null key are left out; ties keep the greatest text."""
-    return chunks.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(version).alias(version))
+    """The valid version of each key, the highest. Rows with a null key are left out; a null version is the lowest."""
+    return chunks.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.coalesce(F.col(version), F.lit(-(1 << 63)))).alias(version))
 
 
 def split_oversized(chunks: DataFrame, limit: int = 2000, overlap: int = 150) -> DataFrame:
@@ -93,11 +93,11 @@ def split_oversized(chunks: DataFrame, limit: int = 2000, overlap: int = 150) ->
     Pages are shared out by position: a piece starts on the page where its added text
     starts, if the chunk's pages are taken as equally long, so they stay within the
     chunk's pages and never go back; null pages stay null. Rows with null content or a
-    null id give nothing. Only oversized rows reach Python, and only keys and versions are
+    null id give nothing; of rows with one id and version the one with the greatest text counts. Only oversized rows reach Python, and only keys and versions are
     shuffled to find the valid ones.
     """
-    big = chunks.where(F.length("content") > limit).select("id", "seq", "content", "page_start", "page_end")
-    rows = big.join(latest(chunks), ["id", "seq"]).dropDuplicates(["id"])
+    big = chunks.where(F.length("content") > limit).select("id", F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), "content", "page_start", "page_end")
+    rows = big.join(latest(chunks), ["id", "seq"]).groupBy("id").agg(F.max(F.struct("content", "page_start", "page_end")).alias("r")).select("id", "r.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

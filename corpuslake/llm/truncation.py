@@ -99,8 +99,9 @@ def _states(replies: DataFrame) -> DataFrame:
                 out.append((key, source, *state, len(inner), sum(bool(_LINE_END.search(x)) for x in inner)))
             yield pd.DataFrame(out, columns=["result_id", "source_id", "state", "reason", "word", "inner", "ended"])
 
-    rows = replies.select("result_id", "source_id", "text").where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
-    return rows.mapInPandas(run, "result_id bigint, source_id string, state string, reason string, word string, inner int, ended int")
+    # Keys travel as text, since a null among whole numbers would make them floats.
+    rows = replies.select(F.col("result_id").cast("string").alias("result_id"), "source_id", "text").where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+    return rows.mapInPandas(run, "result_id string, source_id string, state string, reason string, word string, inner int, ended int")
 
 
 def _lexicon(replies: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def truncated(replies: DataFrame) -> DataFrame:
     rows = states.join(by, "source_id", "left").join(fragments, "word", "left")
     usual = (F.coalesce("e", F.lit(0)) + 3 * everywhere) / (F.coalesce("i", F.lit(0)) + 3)
     cut = (F.col("state") == "cut") | ((F.col("state") == "terminator") & (usual >= 0.5)) | ((F.col("state") == "word") & F.coalesce("fragment", F.lit(False)))
-    return rows.select("result_id", "source_id", cut.alias("is_cut"), F.when(cut, F.col("reason")).alias("reason"))
+    return rows.select(F.col("result_id").cast("bigint").alias("result_id"), "source_id", cut.alias("is_cut"), F.when(cut, F.col("reason")).alias("reason"))
 
 
 def truncation_by_source(judged: DataFrame) -> DataFrame:

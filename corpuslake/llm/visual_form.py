@@ -145,7 +145,9 @@ def visual_forms(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "form": [None if x is None else readable(t(x)) for x in b["text"]]})
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, form string")
+    # Keys travel as text, since a null among whole numbers would make them floats.
+    out = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, form string")
+    return out.withColumn("key", F.col("key").cast(df.schema[key].dataType))
 
 
 def _digests(df: DataFrame, columns: list[str], least: int) -> DataFrame:
@@ -180,7 +182,7 @@ def look_alike_pairs(tables: list[tuple[str, DataFrame, str, str, str | None]],
     parts = []
     for name, df, key, text, version in tables:
         columns = ["k", *(["v"] if version else [])]
-        rows = df.select(F.col(key).cast("string").alias("k"), *([F.col(version).alias("v")] if version else []), F.col(text).alias("text")).where(F.col("k").isNotNull())
+        rows = df.select(F.col(key).cast("string").alias("k"), *([F.coalesce(F.col(version), F.lit(-(1 << 31))).alias("v")] if version else []), F.col(text).alias("text")).where(F.col("k").isNotNull())
         rows = _digests(rows, columns, least)
         if version:
             rows = rows.groupBy("k").agg(F.max_by(F.struct("form", "own"), F.struct("v", "own")).alias("x")).select("k", "x.form", "x.own")
