@@ -190,6 +190,7 @@ def look_alike_pairs(tables: list[tuple[str, DataFrame, str, str, str | None]],
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = cut_lineage(rows)  # digests only; the texts are read once
     group = ["table_name", "form"]
     mixed = rows.groupBy(group).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select(group)
     
