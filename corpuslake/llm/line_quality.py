@@ -36,6 +36,7 @@ _DIGIT = re.compile(r"\d")
 # Words of three letters or more without a vowel, and words that mix letters and digits.
 _UNSPOKEN = re.compile(r"(?<![^\W_])[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{3,}(?![^\W_])")
 _BENT = re.compile(r"(?<![^\W_])(?:[A-Za-z]+\d|\d+[A-Za-z])[A-Za-z\d]*(?![^\W_])")
+_WIDE, _NARROW = re.compile("[\uff01-\uff5e]"), {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _PAGE_NUMBER = re.compile(r"^\W*(?:[^\W\d_]{1,8}\.?\s*)?\d{1,4}\W*(?:/\s*\d{1,4})?\W*$|^\W*[ivxlc]{1,7}\W*$", re.I)
 
 
@@ -50,9 +51,13 @@ def line_figures(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], in
     bad = 0
     if n > 2 or size > 12:
         bad = len(_UNSPOKEN.findall(line)) + (len(_BENT.findall(line)) if digits else 0)
-        if n >= 8 and sum(len(w) == 1 for w in words) * 5 > 3 * n:
-            bad = n  # letters standing apart
-        if n >= 8 and len({w[:1].lower() for w in words}) == 1 or size > 40 and n <= 2 and not line.strip().isalpha():
+        if n >= 8 and (size < 2.2 * n or len({w[:1].lower() for w in words}) < 3):
+            # Letters standing apart, or beginnings of one word over and over; a wrong decoding, whose
+            # signs also part a word into letters, has neither between its blanks.
+            apart = line.split()
+            if sum(len(w) == 1 for w in apart) * 5 > 3 * len(apart) or len(line) < 8 * len(apart) and len({w[:1].lower() for w in apart}) == 1:
+                bad = n
+        if size > 40 and n <= 2 and not line.strip().isalpha():
             bad = n
     mark = 1 if _MARK.match(line) else 2 if _DIALOGUE.match(line) else 0
     end = 1 if _END.search(line) else 2 if _SOFT_END.search(line) else 0
@@ -173,7 +178,10 @@ def common_words(docs: DataFrame, text: str, least: float = COMMON_SHARE) -> fro
 def _lines(texts: list[str | None], common: frozenset[str]):
     figures, lengths, chars, sums = [], [], [], []
     for text in texts:
-        lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
+        text = text or ""
+        if _WIDE.search(text):
+            text = text.translate(_NARROW)
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
         lengths.append(len(lines))
         words = size = odd = known = ended = 0
         for x in lines:
