@@ -43,18 +43,19 @@ def _slot(word: str, cache: dict[str, int]) -> int:
     return h
 
 
-def _passages(slots: np.ndarray, run: int) -> list[tuple[int, int]]:
-    n = len(slots)
-    return [(s, min(n, s + 2 * run)) for s in range(0, max(1, n - run + 1), run)] if n else []
+def _passages(n: int, run: int, apart: bool) -> list[tuple[int, int]]:
+    """Where the passages of n words begin and end; ``apart`` lays them side by side, so that every word stands in one."""
+    starts = range(0, n, 2 * run) if apart else range(0, max(1, n - run + 1), run)
+    return [(s, min(n, s + 2 * run)) for s in starts] if n else []
 
 
-def _rows(texts: list[str | None], run: int, cache: dict[str, int]):
+def _rows(texts: list[str | None], run: int, cache: dict[str, int], apart: bool = False):
     """Words of each text and the sparse passages: (text, start), word slots and their passage."""
     words = [words_of(t) for t in texts]
     where, slots, rows = [], [], []
     for i, w in enumerate(words):
         s = np.fromiter((_slot(x, cache) for x in w), np.int64, len(w))
-        for a, b in _passages(s, run):
+        for a, b in _passages(len(s), run, apart):
             slots.append(s[a:b])
             rows.append(np.full(b - a, len(where)))
             where.append((i, a))
@@ -89,7 +90,7 @@ def _idf(docs: DataFrame, run: int) -> np.ndarray:
         cache: dict[str, int] = {}
         df, n = np.zeros(WIDTH, np.int64), 0
         for b in batches:
-            _, where, slots, rows = _rows(list(b["text"]), run, cache)
+            _, where, slots, rows = _rows(list(b["text"]), run, cache, apart=True)
             df += np.bincount(np.unique(rows * WIDTH + slots) % WIDTH, minlength=WIDTH)
             n += len(where)
         yield pd.DataFrame({"slot": np.append(np.flatnonzero(df), WIDTH), "n": np.append(df[df > 0], n)})
@@ -118,7 +119,7 @@ def _latent(docs: DataFrame, idf: np.ndarray, run: int, rank: int, seed: int = 8
         total = np.zeros((WIDTH, rank + 16), np.float32)
         for b in batches:
             for a in range(0, len(b), 500):
-                _, where, slots, rows = _rows(list(b["text"][a : a + 500]), run, cache)
+                _, where, slots, rows = _rows(list(b["text"][a : a + 500]), run, cache, apart=True)
                 if not where:
                     continue
                 r, s, x = _weights(slots, rows, len(where), idf)
