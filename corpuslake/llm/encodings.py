@@ -1,9 +1,10 @@
 """Text garbled by a wrong decoding (problem 7): found, explained and restored.
 
-Garbled passages are joined with clean near-twins, passages that are equal once everything
-outside ASCII is stripped. The characters between the common ASCII ones are aligned, and
-every pair of encodings that turns the clean side into the garbled side gets a vote. The
-pairs that win votes are the learned transformations; they are applied to all records.
+Garbled passages are joined with all their clean near-twins, passages that are equal in
+ASCII and have the other characters at the same places. Every part outside ASCII of a
+garbled passage votes once, for the pairs of encodings that make it of the same part of
+any twin. The pairs that win votes are the learned transformations; they are applied to
+all records.
 Multibyte readings are recognised by their byte pattern, single-byte readings by whether
 the restored characters fit their neighbours better, by character pairs counted over all
 texts. Replacement characters beside letters are lost for good and only reported.
@@ -15,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,6 +78,18 @@ def explanations(garbled: str, clean: str) -> list[int]:
     return out
 
 
+@lru_cache(100_000)
+def misreadings(clean: str) -> dict[str, list[int]]:
+    """What the readings of ``FAMILIES`` make of a clean part, with their positions; the same relation as ``explanations``."""
+    out: dict[str, list[int]] = {}
+    for i, (w, r) in enumerate(FAMILIES):
+        m = misread(clean, w, r)
+        if m is not None and m != clean:
+            for garbled in {m, re.sub("[\x80-\x9f]", "", m)} - {"", clean}:
+                out.setdefault(garbled, []).append(i)
+    return out
+
+
 def _cover(votes: list[tuple[str, int]], least: int) -> list[tuple[str, str, int]]:
     """The fewest readings that explain the votes: the one with most first, then those for what is left."""
     left = [({int(i) for i in k.split()}, n) for k, n in votes if k]
@@ -95,7 +109,7 @@ def _cover(votes: list[tuple[str, int]], least: int) -> list[tuple[str, str, int
 
 
 def _gather(texts: DataFrame) -> DataFrame:
-    """(kind, key, value, n): passages by what is left of them in ASCII, and pairs of neighbouring characters; counted in each partition first."""
+    """(kind, key, value, n): passages by what is left of them in ASCII and where the rest stood, and pairs of neighbouring characters; counted in each partition first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages: Counter = Counter()
@@ -122,7 +136,7 @@ def _gather(texts: DataFrame) -> DataFrame:
 
 
 def _passage_rows(passages: Counter) -> pd.DataFrame:
-    rows = [("odd" if _ODD.search(p) else "clean", _NON_ASCII.sub("", p), p, n) for p, n in passages.items()]
+    rows = [("odd" if _ODD.search(p) else "clean", _NON_ASCII.sub("\ufffd", p), p, n) for p, n in passages.items()]
     rows = [r for r in rows if len(re.sub("[^A-Za-z0-9]", "", r[1])) >= 3]
     return pd.DataFrame(rows, columns=["kind", "key", "value", "n"]).astype({"kind": "object", "key": "object", "value": "object", "n": "int64"})
 
@@ -253,23 +267,35 @@ def _sound(text: str) -> bool:
 def learn(texts: DataFrame, least: int = LEAST_VOTES) -> tuple[Repairer, list[tuple[str, str, int]]]:
     """A repairer from all texts, and the votes of each pair of encodings.
 
-    One clean passage stands for each ASCII remainder, so no remainder is paired with all
-    its kin. What reaches the driver is bounded by the alphabets and the encodings.
+    Each part of a garbled passage meets the parts of all clean passages of its key, by
+    what the readings make of them, so no two passages are compared and a key with many
+    passages costs no more than they are. What reaches the driver is bounded by the
+    alphabets and the encodings.
     """
     gathered = cut_lineage(_gather(texts))
     counts = gathered.where("kind = 'pair'").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     pairs = dict(zip(counts["key"].astype("int64"), counts["n"].astype("int64"), strict=True))
-    clean = gathered.where("kind = 'clean'").groupBy("key").agg(F.min("value").alias("clean"))
-    odd = gathered.where("kind = 'odd'").groupBy("key", "value").agg(F.sum("n").alias("n"))
+    odd = gathered.where("kind = 'odd'").select("key", "value").distinct()
+    clean = gathered.where("kind = 'clean'").select("key", "value").join(odd.select("key").distinct(), "key", "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        votes: Counter = Counter()
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for garbled, sound in zip(b["value"], b["clean"], strict=True):
-                votes.update(" ".join(map(str, explanations(x, y))) for x, y in align(garbled, sound))
-        yield pd.DataFrame([(k, n) for k, n in votes.items() if k], columns=["families", "n"]).astype({"families": "object", "n": "int64"})
+            rows = [(k, i, x) for k, v in zip(b["key"], b["value"], strict=True) for i, x in enumerate(_NON_ASCII.findall(v))]
+            yield pd.DataFrame(rows, columns=["key", "at", "part"])
 
-    votes = odd.join(clean, "key").select("value", "clean").mapInPandas(run, "families string, n bigint")
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for a in range(0, len(b), 1000):
+                c = b.iloc[a : a + 1000]
+                rows = [(k, i, x, ids) for k, i, y in zip(c["key"], c["at"], c["part"], strict=True) for x, ids in misreadings(y).items()]
+                yield pd.DataFrame(rows, columns=["key", "at", "part", "ids"])
+
+    place = ["key", "at", "part"]
+    parts = odd.mapInPandas(split, "key string, at int, part string")
+    made = clean.mapInPandas(split, "key string, at int, part string").distinct().mapInPandas(read, "key string, at int, part string, ids array<int>")
+    # Parts that no garbled passage has at this place are dropped before the shuffle where the other side is small.
+    made = made.join(parts.distinct(), place, "left_semi").groupBy(place).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))), " ").alias("families"))
+    votes = parts.join(made, place).withColumn("n", F.lit(1))
     won = [(r["families"], r["n"]) for r in votes.groupBy("families").agg(F.sum("n").alias("n")).collect()]
     learned = _cover(won, least)
     return Repairer([(w, r) for w, r, _ in learned], pairs), learned

@@ -240,6 +240,21 @@ def test_alignment():
     assert encodings.align("other", "words") == []
 
 
+@pytest.mark.parametrize("size", [20, 400])
+def test_every_clean_twin_is_met(spark, size):
+    # The least clean passage of each key explains nothing; the one that does sorts behind it.
+    keys = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(size)]
+    rows = [(x,) for k in keys for x in (f"{k}·n", f"{k}ún", f"{k}Ãºn")]
+    _, learned = encodings.learn(table(spark, rows, "text string"))
+    assert sum(n for w, _, n in learned if w == "utf-8") == size
+
+
+def test_misreadings_are_the_explanations():
+    for clean in ("ú", "é", "река", "ñ"):
+        made = encodings.misreadings(clean)
+        assert all(encodings.explanations(x, clean) == ids for x, ids in made.items()) and made
+
+
 # 8. Leakage
 
 
