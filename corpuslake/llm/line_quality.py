@@ -5,7 +5,7 @@ share of digits, of odd symbols, of unpronounceable words and of common words).
 Markov model with the states prose, list, table and junk labels the lines of a document
 together; the label shares by characters tell prose from the rest. The model is fitted by
 Viterbi training on at most ``SAMPLE`` documents, starting from lines whose kind is plain.
-Common words are counted over all documents.
+Common words are counted over all documents, those of each script by themselves.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ _DIGIT = re.compile(r"\d")
 _UNSPOKEN = re.compile(r"(?<![^\W_])[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{3,}(?![^\W_])")
 _BENT = re.compile(r"(?<![^\W_])(?:[A-Za-z]+\d|\d+[A-Za-z])[A-Za-z\d]*(?![^\W_])")
 _WIDE, _NARROW = re.compile("[\uff01-\uff5e]"), {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+# Which script the blocks of 128 code points belong to, by its first block; -1 for signs, all others stand for themselves.
+_SCRIPT = np.arange(0x110000 >> 7)
+for _first, _last, _script in ((0x0, 0x27F, 0), (0x1E00, 0x1EFF, 0), (0x300, 0x3FF, 7), (0x1F00, 0x1FFF, 7), (0x400, 0x57F, 8), (0x600, 0x77F, 12), (0xFB00, 0xFDFF, 12), (0xFE80, 0xFEFF, 12), (0x2000, 0x2BFF, -1), (0xE000, 0xF8FF, -1), (0xFE00, 0xFE7F, -1), (0xFF80, 0xFFFF, -1), (0x3000, 0x9FFF, 96)):
+    _SCRIPT[_first >> 7 : (_last >> 7) + 1] = _script
 _PAGE_NUMBER = re.compile(r"^\W*(?:[^\W\d_]{1,8}\.?\s*)?\d{1,4}\W*(?:/\s*\d{1,4})?\W*$|^\W*[ivxlc]{1,7}\W*$", re.I)
 
 
@@ -56,7 +60,7 @@ def line_figures(line: str, common: frozenset[str]) -> tuple[tuple[int, ...], in
             # signs also part a word into letters, has neither between its blanks.
             apart = line.split()
             if sum(len(w) == 1 for w in apart) * 5 > 3 * len(apart) or len(line) < 8 * len(apart) and len({w[:1].lower() for w in apart}) == 1:
-                bad = n
+                bad, known = n, 0
         if size > 40 and n <= 2 and not line.strip().isalpha():
             bad = n
     mark = 1 if _MARK.match(line) else 2 if _DIALOGUE.match(line) else 0
@@ -156,31 +160,54 @@ class LineModel:
         self.move = np.log(c / c.sum(axis=1, keepdims=True))
 
 
+def script(text: str) -> int:
+    """The script that most letters of a text are of, as in ``_SCRIPT``; 0, Latin, without letters."""
+    if text.isascii():
+        return 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = _SCRIPT[codes[codes > 64] >> 7]
+    found = found[found >= 0]
+    return int(np.bincount(found).argmax()) if len(found) else 0
+
+
+def _narrow(text: str) -> str:
+    return text.translate(_NARROW) if _WIDE.search(text) else text
+
+
 def common_words(docs: DataFrame, text: str, least: float = COMMON_SHARE) -> frozenset[str]:
-    """Words that make up at least ``least`` of all words, which bounds their number by 1 / least."""
+    """Words that make up at least ``least`` of the words of all texts mainly in their script, which bounds their number by 1 / least a script."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
         for b in batches:
-            counts.update(" ".join(b["t"]).lower().split())
-            if len(counts) > 300_000:
-                yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
-                counts = Counter()
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())}).astype({"word": "object", "n": "int64"})
-
-    counts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(2, least * total)).select("word").collect()
+            for t in map(_narrow, b["t"]):
+                found = counts.setdefault(script(t), Counter())
+                for line in t.lower().split("\n"):
+                    some = line.split()
+                    # Letters standing apart are no words, or every letter of a script would be a common one.
+                    if len(line) >= 4 * len(some) or len(some) < 8 or sum(len(w) == 1 for w in some) * 5 <= 3 * len(some):
+                        found.update(some)
+            if sum(map(len, counts.values())) > 300_000:
+                yield _word_rows(counts)
+                counts = {}
+        yield _word_rows(counts)
+
+    counts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "script int, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n")).persist()
+    totals = counts.groupBy("script").agg(F.sum("n").alias("total"))
+    rows = counts.join(F.broadcast(totals), "script").where(F.col("n") >= F.greatest(F.lit(2.0), least * F.col("total"))).select("word").distinct().collect()
     counts.unpersist()
     return frozenset(r["word"] for r in rows if r["word"].isalpha())
 
 
+def _word_rows(counts: dict[int, Counter]) -> pd.DataFrame:
+    rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
+    return pd.DataFrame(rows, columns=["script", "word", "n"]).astype({"script": "int32", "word": "object", "n": "int64"})
+
+
 def _lines(texts: list[str | None], common: frozenset[str]):
     figures, lengths, chars, sums = [], [], [], []
     for text in texts:
-        text = text or ""
-        if _WIDE.search(text):
-            text = text.translate(_NARROW)
+        text = _narrow(text or "")
         lines = [x for x in text.split("\n") if x and not x.isspace()]
         lengths.append(len(lines))
         words = size = odd = known = ended = 0

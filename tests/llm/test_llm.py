@@ -200,6 +200,18 @@ def test_line_labels(spark):
     assert {r["key"] % 4 for r in line_quality.not_prose(q).collect()} == {1, 2, 3}
 
 
+def test_every_script_has_common_words(spark):
+    small = [f"река в городе {i}\nи вода в море" for i in range(4)] + ["в р е к а г о р о д"] * 40
+    rows = [(x,) for x in small + ["the harbour of the town and the lantern"] * 3000 + ["قرب النهر في المدينة"] * 5 + ["ｔｈｅ ｔｏｗｎ"]]
+    common = line_quality.common_words(table(spark, rows, "text string"), "text")
+    assert {"the", "of", "and", "в", "и", "вода", "في", "النهر"} <= common
+    assert not {"р", "е", "ｔｈｅ"} & common
+
+
+def test_script_of_a_text():
+    assert [line_quality.script(x) for x in ("", "12 - 3", "word", "été", "река – 5 km", "نهر", "αλφα", "words withiп оf")] == [0, 0, 0, 0, 8, 12, 7, 0]
+
+
 def test_viterbi_against_all_paths():
     m, rng = line_quality.LineModel(), np.random.default_rng(0)
     m.start, m.move = np.log(rng.dirichlet(np.ones(4))), np.log(rng.dirichlet(np.ones(4), 4))
