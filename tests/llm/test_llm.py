@@ -68,6 +68,15 @@ def test_page_numbers(line, number):
     assert scan_noise.is_number(line) == number
 
 
+def test_all_words_of_a_form_are_candidates(spark):
+    # "die" and "elle", "well" and "weil" are one evened-out form each; the lesser word was never met.
+    counts = {w: 200 for w in WORDS} | {"die": 14000, "elle": 700, "well": 2400, "weil": 1200, "e1le": 160, "e|le": 7, "wei1": 140, "wei|": 13, "we!l": 8, "we1l": 9}
+    lexicon = table(spark, sorted(counts.items()), "word string, n long")
+    out = {r["word"]: r["correction"] for r in scan_noise.misread_words(lexicon, scan_noise.fit(lexicon)).collect()}
+    assert {w: out.get(w) for w in ("e1le", "e|le", "wei1", "wei|", "we!l", "we1l")} == {"e1le": "elle", "e|le": "elle", "wei1": "weil", "wei|": "weil", "we!l": "weil", "we1l": "well"}
+    assert not {"die", "elle", "well", "weil"} & set(out)
+
+
 # 2. Visual form
 
 
