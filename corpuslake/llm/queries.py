@@ -21,15 +21,19 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.repair(read_table(spark, d, "extracted_pages"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return visual_form.look_alike_pairs([
+def _p2_tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str, str | None]]:
+    return [
         ("page_text", read_table(spark, d, "page_text"), "row_id", "text", None),
         ("chunks", read_table(spark, d, "chunks"), "id", "content", "seq"),
-    ])
+    ]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual_form.look_alike_pairs(_p2_tables(spark, d))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
-    return visual_form.visual_forms(read_table(spark, d, "page_text"), "row_id", "text")
+    return visual_form.forms_of_tables(_p2_tables(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

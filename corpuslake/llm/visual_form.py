@@ -150,6 +150,28 @@ def visual_forms(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumn("key", F.col("key").cast(df.schema[key].dataType))
 
 
+def forms_of_tables(tables: list[tuple[str, DataFrame, str, str, str | None]]) -> DataFrame:
+    """(table_name, key, form): the texts of several tables in their one form, keys as strings.
+
+    ``tables``: as for ``look_alike_pairs``. With a version column a key has the text of its
+    highest version alone, also if that is null; rows with a null key have no versions and
+    are all kept.
+    """
+    parts = []
+    for name, df, key, text, version in tables:
+        if version:
+            rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(version), F.lit(-(1 << 31))).alias("v"), F.col(text).alias("text"))
+            valid = rows.where("k is not null").groupBy("k").agg(F.max_by(F.struct("text"), F.struct("v", "text")).alias("x")).select("k", "x.text")
+            forms = visual_forms(valid.unionByName(rows.where("k is null").select("k", "text")), "k", "text")
+        else:
+            forms = visual_forms(df, key, text)
+        parts.append(forms.select(F.lit(name).alias("table_name"), F.col("key").cast("string").alias("key"), "form"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _digests(df: DataFrame, columns: list[str], least: int) -> DataFrame:
     """Adds 128-bit digests of the form and of the text itself and drops the text; short texts get no digest."""
     kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
