@@ -1,7 +1,7 @@
 """Replies cut off before their end (problem 4).
 
-A stack automaton reads a text once: quotes, brackets, tags and emphasis are pushed and
-popped, paragraphs reset it. Its state at the end, a broken multibyte sequence or escape
+A stack automaton reads a text once: quotes, brackets, tags, emphasis and code are pushed
+and popped; paragraphs reset all but tags and fences. Its state at the end, a broken multibyte sequence or escape
 there, and the kind of the last line (prose, list entry, table row, caption, title)
 decide whether something is missing. A missing terminator counts only where the source
 usually sets one, measured on the prose lines inside its replies. Whether a last word is
@@ -23,6 +23,10 @@ from corpuslake.session import cut_lineage
 
 _PAIRS = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "¿": "?", "¡": "!", "‹": "›"}
 _CLOSERS = set(_PAIRS.values())
+_BOTH_WAYS = {"**", "__", "*", "_", "`", '"'}
+#: Tags that nothing closes, or that may be left open.
+_UNPAIRED = set("area base br col embed hr img input link meta source track wbr p li dt dd td th tr thead tbody tfoot option".split())
+_MARKUP = re.compile(r"^[ \t]*(?P<fence>```|~~~)|\n\n|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9-]*)(?:\s[^<>\n]*?)?(?P<empty>/?)>|\*\*|__|[*_`\"]|[" + re.escape("".join({*_PAIRS, *_CLOSERS})) + "]", re.M)
 _END = ".!?؟۔。"
 _AFTER_END = "”»\"'’)]*_›"
 # A mark that a cut may leave behind it.
@@ -33,17 +37,44 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _LINE_END = re.compile(f"[{re.escape(_END)}][{re.escape(_AFTER_END)}\\s]*$")
 
 
-def open_at_end(text: str) -> str:
-    """What is still open after the last paragraph of the text, outermost first."""
+def _open(text: str) -> list[str]:
     stack: list[str] = []
-    for c in text[text.rfind("\n\n") + 1 :]:
-        if stack and c == _PAIRS.get(stack[-1]):
+    fence = ""
+    for m in _MARKUP.finditer(text):
+        t = m.group()
+        if mark := m.group("fence"):
+            fence = "" if fence == mark else fence or mark
+        elif fence:
+            continue
+        elif t[0] == "\n":
+            stack = [x for x in stack if x[0] == "<"]
+        elif name := m.group("tag"):
+            tag = f"<{name.lower()}>"
+            if m.group("end"):
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+            elif not m.group("empty") and name.lower() not in _UNPAIRED:
+                stack.append(tag)
+        elif t in _BOTH_WAYS:
+            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            if t in stack and (t in "`\"" or before.strip() and not after.isalnum()):
+                del stack[len(stack) - 1 - stack[::-1].index(t) :]
+            elif t not in stack and after.strip() and not before.isalnum():  # no apostrophe, inch, product or bullet
+                stack.append(t)
+        elif "`" in stack:
+            continue
+        elif stack and t == _PAIRS.get(stack[-1]):
             stack.pop()
-        elif c in _PAIRS:
-            stack.append(c)
-        elif c in _CLOSERS and c in (hit := [_PAIRS[s] for s in stack]):
-            del stack[len(hit) - 1 - hit[::-1].index(c) :]
-    return "".join(stack)
+        elif t in _PAIRS:
+            stack.append(t)
+        elif t in (hit := [_PAIRS.get(s) for s in stack]):
+            del stack[len(hit) - 1 - hit[::-1].index(t) :]
+    return [*stack, *([fence] if fence else [])]
+
+
+def open_at_end(text: str) -> str:
+    """What is still open at the end of the text, outermost first."""
+    return "".join(_open(text))
 
 
 def _prose(line: str) -> bool:
@@ -69,6 +100,8 @@ def end_state(text: str) -> tuple[str, str, str]:
             return "cut", "table row", word
         rows = [x for x in lines[:-1] if x.lstrip().startswith("|")]
         return ("cut", "table row", word) if rows and last.count("|") < min(x.count("|") for x in rows) else ("whole", "", "")
+    if left := _open(bare):
+        return "cut", f"unclosed {left[-1]}", word
     if caption := re.match(r"\[[^\]\n]{1,20}\]\s*", last):
         items = [x.split() for x in last[caption.end() :].split(",")]
         if not items[-1] or len(items[-1]) < len(items[0]):
@@ -84,8 +117,6 @@ def end_state(text: str) -> tuple[str, str, str]:
         return ("cut", "title", word) if marked and words else ("word", "title", word)
     if not _LINE_END.search(last):
         return ("cut" if marked else "terminator"), "sentence", word
-    if left := open_at_end(bare):
-        return "cut", f"unclosed {left[-1]}", word
     return "whole", "", ""
 
 

@@ -141,6 +141,22 @@ def test_end_states(text, state):
     assert truncation.end_state(text)[0] == state
 
 
+@pytest.mark.parametrize(
+    ("text", "opened"),
+    [
+        ("He said <b>this", "<b>"), ("He said <b>this</b><br> and <img src='x'/> that.", ""), ("one **two* three", "**"), ("one **two** *three* _four_.", ""), ("a snake_case and 2*3 and 5\" wide", ""),
+        ('She said "no', '"'), ('She said "no" (and "yes").', ""), ("```\nx = (1\n\ny", "```"), ("```\nx = (1\n```\nDone.", ""), ("see `f(x", "`"), ("(open\n\nThe next.", ""), ("* item\n* other", ""), ("<div>One.\n\nTwo.", "<div>"),
+    ],
+)
+def test_markup_on_the_stack(text, opened):
+    assert truncation.open_at_end(text) == opened
+
+
+@pytest.mark.parametrize("text", ["The list is here:\n\n- red wine (from the\n- white wine\n- old beer [see", "[Figure 2] tower (old", "Old Town (North"])
+def test_open_brackets_cut_any_kind_of_line(text):
+    assert truncation.end_state(text)[0] == "cut"
+
+
 def test_truncated(spark):
     good = "The lantern stood beside the harbour. " * 3
     rows = [(i, "s", good) for i in range(20)] + [(50, "s", good + "The lant"), (51, None, "- old harbour\n- old lantern"), (52, "s", "- old harbour\n- old lant"), (53, "s", None), (54, "s", "  "), (55, None, "Old Lantern")]
