@@ -2,11 +2,11 @@
 
 Documents are cut into passages of ``2 * run`` words that start every ``run`` words, so any
 ``run`` consecutive words lie whole in one passage; items are cut into windows of ``run``
-words at every place. Passages get TF-IDF weights over hashed words, a randomised SVD
+words at every third place and the last. Passages get TF-IDF weights over hashed words, a randomised SVD
 over all passages gives the latent space (the corpus times a Gaussian sketch is summed in
 every partition and then over partitions), and passages close to an item's window by
 cosine are candidates. Candidates are then checked word by word: a run of consecutive
-words shared with the item, and for paraphrases the longest common subsequence together
+words shared with the item, whose greatest length in the document is then measured, and for paraphrases the longest common subsequence together
 with the item's rare words, its answers.
 
 Words are the longest runs of Unicode letters and digits, in lower case. The item table
@@ -163,9 +163,23 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def longest_shared(item: list[str], doc: list[str]) -> int:
+    """The most consecutive words of an item that stand consecutively in a document."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(item):
+        places.setdefault(w, []).append(j)
+    best, ends = 0, {}
+    for w in doc:
+        ends = {j: ends.get(j - 1, 0) + 1 for j in places.get(w, ())}
+        if ends:
+            best = max(best, *ends.values())
+    return best
+
+
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, rank: int = RANK, cosine: float = COSINE, paraphrase: float = 0.7) -> DataFrame:
     """(doc_id, item_id, longest_run, similarity, kind): documents with wording of an item.
 
+    longest_run is the longest run of words that a verbatim pair shares, 0 for a paraphrase.
     kind is ``verbatim`` (at least ``run`` consecutive words of the item stand in the
     document) or ``paraphrase`` (the longest common subsequence of words covers at least
     ``paraphrase`` of the item and at least half of the item's rare words, its answers,
@@ -238,6 +252,9 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, rank: int = RANK, c
                             wide = words[i][max(0, start - run) : start + 3 * run]
                             if len(answers[item] & set(wide)) * 2 >= len(answers[item]) and _lcs(item_words[item], wide) >= paraphrase * len(item_words[item]):
                                 best[i, item] = [0, value, "paraphrase"]
+                for (i, item), v in best.items():
+                    if v[2] == "verbatim":
+                        v[0] = longest_shared(item_words[item], words[i])
                 out = [(keys[i], ids[item], *v) for (i, item), v in best.items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "similarity", "kind"])
 

@@ -324,6 +324,21 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(table(spark, docs, "doc_id long, text string"), frame.limit(0)).count() == 0
 
 
+def test_longest_run_is_measured(spark):
+    item = [f"w{i}x" for i in range(40)]
+    docs = [(1, " ".join(["a", *item[5:30], "b", *item[:14]])), (2, " ".join(item)), (3, " ".join(item[:12])), (4, "nothing of it")]
+    out = leakage.leaks(table(spark, docs, "doc_id long, text string"), table(spark, [(7, "b", " ".join(item))], "item_id long, benchmark string, text string")).where("kind = 'verbatim'")
+    assert {r["doc_id"]: r["longest_run"] for r in out.collect()} == {1: 25, 2: 40, 3: 12}
+
+
+def test_longest_shared_against_all_runs():
+    rng = random.Random(5)
+    for _ in range(50):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(12))] for _ in range(2))
+        runs = [k for k in range(1, 13) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]]
+        assert leakage.longest_shared(a, b) == max(runs, default=0)
+
+
 # 9. Mixing
 
 
