@@ -77,6 +77,16 @@ def test_all_words_of_a_form_are_candidates(spark):
     assert not {"die", "elle", "well", "weil"} & set(out)
 
 
+def test_rare_compounds_divided_at_a_line_end_stay(spark, monkeypatch):
+    # More compounds than the sample for the fit holds.
+    monkeypatch.setattr(scan_noise, "MOST_COMPOUNDS", 1)
+    lines = ["a well-known tale of the river-bank by the river-bank and the river-bank is well-known", "the sea was well-", "known to all"]
+    pages = table(spark, [(1, "s", 1, "\n".join(lines))], "extract_id long, source_id string, page int, text string")
+    models = scan_noise._prepare(pages)[1]
+    assert "well-known" in models.compounds and not models.dividing("well", "-", "known")
+    assert not scan_noise.defects(pages).where("defect = 'hyphen'").count()
+
+
 # 2. Visual form
 
 
