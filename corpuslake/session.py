@@ -30,10 +30,14 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where
-    none is set, as in tests, a folder of this process is taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
+    session that names none, as in tests, gets a folder of its own; on a cluster no folder
+    of one machine would do, so there a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuslake-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuslake-"))
     return df.checkpoint(eager=True)
