@@ -11,8 +11,8 @@ small cells (source, size, bucket of the key), never from one task that walks a
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,30 +21,41 @@ from pyspark.sql import functions as F
 from corpuslake.session import cut_lineage
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_encoders: dict[str, object] = {}
+MOST_VOCABULARY_BYTES = 64 << 20
+_encoders: dict[int, object] = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _vocabulary(path: str) -> tuple[str, bytes]:
+    """The split pattern and the ranks of a vocabulary, read once where the plan is made and sent to the tasks.
+
+    Without the package that holds the pattern there is no token count: another pattern
+    would count other tokens.
+    """
+    from public_tokenizers import PATTERN
+
+    if (size := os.path.getsize(path)) > MOST_VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of {size} bytes is too large to be sent to every task")
+    with open(path, "rb") as f:
+        return PATTERN, f.read()
+
+
+def _encoder(pattern: str, ranks: bytes):
+    if (key := hash((pattern, ranks))) not in _encoders:
         import tiktoken
 
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        lines = Path(path).read_bytes().splitlines()
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        pairs = (x.split() for x in ranks.splitlines() if x)
+        _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    return _encoders[key]
 
 
 def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """key, the kept columns and n_tokens; null and empty texts have 0 tokens. Texts are encoded whole."""
     columns = [key, *keep]
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
     kinds = ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = _encoder(vocabulary)
+        e = _encoder(*shared.value)
         for b in batches:
             yield b[columns].assign(n_tokens=[len(e.encode_ordinary(t)) if t else 0 for t in b["__text"]])
 
@@ -53,7 +64,7 @@ def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], vocabula
     return out.withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in columns})
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, cell_rows: int = 20_000, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens, copies) for every record with a target; copies may be 0.
 
     ``targets``: source, target_share, max_repeats; few rows, one per source. Sources
@@ -62,7 +73,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256,
     Records with the same key, or with a null key, are records of their own.
     """
     aims = targets.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats")
-    sized = cut_lineage(token_counts(docs.where(F.col("source").isNotNull()), "doc_id", "text", ["source"], vocabulary))
+    sized = token_counts(docs.where(F.col("source").isNotNull()), "doc_id", "text", ["source"], vocabulary)
+    sized = cut_lineage(sized.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     # As many rows as there are targets: the total is the greatest that every source can carry.
     plan = aims.join(sums, "source", "left").withColumn("can", F.coalesce("tokens", F.lit(0)) * F.col("max_repeats") / F.col("target_share"))
@@ -71,7 +83,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 256,
     plan = plan.select("source", F.least(F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double")).alias("expected"))
 
     cell = ["source", "n_tokens", "bucket"]
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    # So many buckets that a cell stays small even if one source and size held all records; null keys are spread too.
+    buckets = max(1, -(-sized.count() // cell_rows))
+    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(buckets)))
     counts = rows.groupBy(cell).agg(F.count("*").alias("n"))
     # Two levels of running sums, each over at most a few thousand rows a group.
     levels = counts.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))

@@ -94,6 +94,10 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.contaminated(_leaks(spark, d), read_table(spark, d, "eval_items"))
 
 
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("kind = 'paraphrase'").select("doc_id", "item_id", "similarity")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 

@@ -401,3 +401,43 @@ def test_shared_spans_against_brute_force(spark, seed):
     shares = {r["doc_id"]: r for r in long_spans.shared_part(df, spans).collect()}
     assert shares[202]["shared_share"] == 1.0 and shares[201]["shared_share"] == 0.0
     assert long_spans.shared_spans(df.limit(0), span=60, k=30).count() == 0
+
+
+def test_paraphrases_are_found(spark):
+    """Items with a tenth of the words swapped or left out and no run of twelve words, hidden in long documents: recall 0.9 at least."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 10) for i in range(3000)]
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(i, "b", " ".join(draw(24))) for i in range(60)]
+    docs = [(k, " ".join(draw(rng.randint(20, 200)))) for k in range(500)]
+    for i, _, t in items:
+        w = t.split()
+        for at in (5, 11, 17):
+            w[at] = rng.choice(vocabulary)
+        del w[20]
+        docs.append((1000 + i, " ".join(draw(rng.randint(0, 90)) + w + draw(rng.randint(0, 90)))))
+    found = leakage.leaks(table(spark, docs, "doc_id long, text string"), table(spark, items, "item_id long, benchmark string, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.where("kind = 'paraphrase'").collect()}
+    assert len(got & {(1000 + i, i) for i in range(60)}) >= 54
+    assert len(got) <= 66
+
+
+def test_items_searched_in_blocks(spark):
+    rng = random.Random(4)
+    items = [(i, "b", " ".join(f"v{rng.randrange(500)}" for _ in range(20))) for i in range(30)]
+    docs = [(i, f"a b c {t} d") for i, _, t in items]
+    frames = table(spark, docs, "doc_id long, text string"), table(spark, items, "item_id long, benchmark string, text string")
+    whole = sorted((r["doc_id"], r["item_id"], r["longest_run"]) for r in leakage.leaks(*frames).collect())
+    assert sorted((r["doc_id"], r["item_id"], r["longest_run"]) for r in leakage.leaks(*frames, most_index_bytes=100_000).collect()) == whole and len(whole) == 30
+
+
+def test_common_subsequence_against_the_table():
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randrange(15))], np.uint64) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert leakage.common_subsequence(a, b) == best[-1][-1]
