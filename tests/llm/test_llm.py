@@ -126,6 +126,31 @@ def test_split_round_trip(seed):
     assert len(pieces) <= 1 + 3 * len(text) // 440
 
 
+def test_pieces_stay_within_oversized_sections():
+    alpha = "# Alpha\n" + "Words of alpha here. " * 23 + "\n"
+    beta = "# Beta\n" + ("A sentence of beta stands here. " * 20 + "\n\n") * 6
+    gamma = "## Sub\n" + "Words of gamma. " * 20 + "\n# Delta\nShort.\n# Epsilon\nShort too.\n"
+    text = alpha + beta + gamma
+    ends = [b for _, _, b in tree_split.split_text(text)]
+    assert ends[0] == len(alpha)
+    assert text.index("# Delta") in ends and text.index("# Epsilon") not in ends  # siblings that fit are merged
+
+
+def kinds(node, text):
+    return [text[node.start : node.end].split("\n")[0], *[kinds(c, text) for c in node.children]] if node.children else text[node.start : node.end].split("\n")[0]
+
+
+def test_tree_of_headings_lists_and_markup():
+    text = "intro\n\n# A\nalpha\n\n## B\n- one\n  - deep\n  - deeper\n- two\n# C\n<div>\n<p>\nin\n</p>\n</div>\n```\n# code\n\nmore\n```\n== D ==\ntail"
+    tree = kinds(tree_split.parse(text), text)
+    assert tree == ["intro", "intro", ["# A", "# A", ["## B", "## B", ["- one", ["- one", "- one", "  - deep", "  - deeper"], "- two"]]], ["# C", "# C", ["<div>", "<div>", ["<p>", "<p>", "in", "</p>"], "</div>"], "```", ["== D ==", "== D =="]]]
+
+
+def test_odd_structures_take_no_long():
+    for text in ("<p>line\n" * 20000, "".join(" " * i + "- a\n" for i in range(1500)), "<div>\n" * 3000 + "</div>\n" * 3000, "# a\n" * 20000):
+        assert "".join(text[a:b] for _, a, b in tree_split.split_text(text)) == text
+
+
 def test_split_prefers_boundaries(spark):
     text = ("A sentence here. " * 20 + "\n\n") * 8
     assert all(p.endswith(("\n\n", " ")) for p, _, _ in tree_split.split_text(text, 2000, 150))
