@@ -97,11 +97,16 @@ def test_formats(spark):
     rows = [
         ("a.TXT", b"caf\xc3\xa9 \xff"), ("b.json", b'\xef\xbb\xbf{"x": [1, "s", {"y": " "}, "t"]}'), ("c.json", b"{no"),
         ("d.json", '{"k": [{"major": "M", "university": "U", "requirements": ["r1", "", "r2"]}]}'.encode()),
+        ("d2.json", '{"z": [{"university": 3, "major": " N ", "requirements": "plain"}], "a": [{"major": "A", "university": null, "requirements": [1, null]}], "q": 5}'.encode()), ("d3.json", b'[{"major": "M", "university": "U", "requirements": []}]'),
+        ("k.json", '"only \\"one\\" \\u00e9:"'.encode()), ("l.json", b'{"a:": "x:", "b" : ["", {"c": "y\\n"}], "d": "z"}'), ("m.json", b""), ("n.json", None), ("o.json", b'["' + b"x" * 100_000 + b'"]'),
         ("e.html", b"<title>T</title><script>x</script><p>a <b>b</b>&amp; c<!-- z --></p>"), ("f.docx", DOCX), ("g.pptx", PPTX), ("h.zip", b"PK"), ("i.docx", b"broken"), (None, b"x"), ("j.txt", None),
     ]
     out = {r["file_name"]: (r["text"], r["error"]) for r in files.extract_text(spark.createDataFrame(rows, "file_name string, content binary")).collect()}
     assert out["a.TXT"][0] == "café �" and out["b.json"][0] == "s\nt" and out["c.json"][0] == "{no"
     assert out["d.json"][0].endswith("- r1\n- r2") and "U" in out["d.json"][0]
+    form = "אוניברסיטה: {}\nתחום: {}\nתנאי קבלה:\n{}"
+    assert out["d2.json"][0] == form.format("3", "N", "plain") + "\n\n" + form.format("", "A", "- 1") and out["d3.json"][0] == form.format("U", "M", "")
+    assert out["k.json"][0] == 'only "one" é:' and out["l.json"][0] == "x:\ny\n\nz" and out["m.json"] == ("", None) and out["n.json"] == ("", None) and len(out["o.json"][0]) == 100_000
     assert out["e.html"][0] == "T\na\nb\n& c"
     assert out["f.docx"][0] == "One\ttwo\n\na | b" and out["g.pptx"][0] == "[Slide 2]\nHi\n\n[Slide 3]\nEnd"
     assert out["h.zip"] == ("", None) and out["i.docx"][0] is None and out["i.docx"][1]

@@ -12,11 +12,20 @@ def words(n, tag):
 
 def test_recursive_split_bounds_and_content():
     text = "\n\n".join(words(n, "w") + ". " + words(30, "v") for n in (10, 400, 3)) + "x" * 2000
-    pieces = C.split_recursive(text)
+    pieces = [text[a:b] for a, b in C.default_spans(text)]
     assert all(len(p) <= 800 for p in pieces)
     squeeze = lambda s: "".join(s.split()).replace(".", "")
     assert squeeze("".join(pieces)) == squeeze(text)
-    assert C.split_recursive("") == [""]
+    assert C.default_texts("") == [""]
+
+
+def test_default_spans_cut_at_the_coarsest_separator():
+    spans = lambda t, n: [t[a:b] for a, b in C.default_spans(t, n)]
+    assert spans("aa\n\nbb\n\ncc", 6) == ["aa\n\nbb", "cc"]
+    assert spans("\n\n\n\naa\n\n\n\nbb", 6) == ["aa\n\n", "bb"]
+    assert spans("aa bb. cc dd\nee", 8) == ["aa bb", "cc dd", "ee"]
+    assert spans("x" * 20, 8) == ["x" * 8, "x" * 8, "x" * 4]
+    assert C.default_texts("abcd efgh ijkl", 5, 2) == ["abcd", "cdefgh", "ghijkl"]
 
 
 def test_default_chunks_overlap(spark):
@@ -44,8 +53,33 @@ def test_short_tail_joins_and_empty_pages_vanish():
     assert len(out) == 1 and out[0][2:] == (1, 2)
 
 
+def test_pages_of_a_source_are_walked_in_batches(spark):
+    rows = [("s", "n", "f", p, words(5 + p % 60, f"p{p}x") + ".") for p in range(1, 300)] + [("t", None, None, 1, None), ("s", "n", "f", 6001, "far " * 100), ("s", "n", "f", 6002, "further " * 200)]
+    df = spark.createDataFrame(rows, "source_id string, notebook_id string, source string, page int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = C.pages_chunks(df.repartition(5)).orderBy("chunk_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = C.chunk_pages([(r[3], r[4]) for r in rows if r[0] == "s" and r[3] < 5000])
+    far = C.chunk_pages([(r[3], r[4]) for r in rows if r[0] == "s" and r[3] > 5000])
+    assert [(r["chunk_index"], r["content"], r["page_start"], r["page_end"]) for r in out] == near + [(100_000 + i, *x) for i, *x in far]
+    assert out[0]["id"] == "s:00000" and {r["notebook_id"] for r in out} == {"n"}
+
+
+def test_chunker_dispatch(spark):
+    df = spark.createDataFrame([("s", "n", "f", 2, "b " * 500), ("s", "n", "f", 1, "a " * 500), (None, None, None, 1, "x")], "source_id string, notebook_id string, source string, page int, text string")
+    assert [r["page_start"] for r in C.chunked(df, "pages_v1").collect()] == [1, 2]
+    plain = C.chunked(df, None).orderBy("chunk_index").collect()
+    assert [r["id"] for r in plain] == [f"s:{i:05d}" for i in range(len(plain))] and plain[0]["content"].startswith("a a") and plain[0]["page_start"] is None
+    smart = C.chunked(df, "smart", spark.createDataFrame([("s", 0, "one<<<CHUNK>>> \n<<<CHUNK>>> two ")], "source_id string, section int, reply string"))
+    assert [(r["chunk_index"], r["content"]) for r in smart.orderBy("chunk_index").collect()] == [(0, "one"), (1, "two")]
+    with pytest.raises(ValueError, match="no chunker"):
+        C.chunked(df, "other")
+
+
 def test_sections_carry_over():
-    parts = C.split_sections("\n\n".join("x" * 90 for _ in range(20)), 300, 50)
+    parts = C.section_texts("\n\n".join("x" * 90 for _ in range(20)), 300, 50)
     assert all(b.startswith(a[-50:]) for a, b in zip(parts, parts[1:], strict=False))
 
 

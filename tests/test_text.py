@@ -46,6 +46,7 @@ def test_clean_text_folds_presentation_forms_only(spark):
         ("Ã©Ã¨Ø§Ù„" * 20, "junk", "mojibake"),
         ("�" * 50, "junk", "replacement-chars"),
         ("+-*/=<> " * 20, "junk", "few-letters"),
+        ("a, b. c; d! " * 12, "degraded", "broken-words"),
         ("a b c d e f g h i j k l m n o p q r s t " * 2, "degraded", "broken-words"),
     ],
 )
@@ -55,6 +56,43 @@ def test_grades(spark, text, status, reason):
     assert reason is None and not g["reasons"] or reason in g["reasons"]
 
 
+def graded(raw):
+    """The grader's figures, letter by letter."""
+    clean = normalize("".join(unicodedata.normalize("NFKC", c) if "\ufb00" <= c <= "\ufdff" or "\ufe70" <= c <= "\ufefe" else c for c in raw).replace("\u0640", "").replace("\ufffd", ""))
+    solid = [c for c in raw if not c.isspace()]
+    words = [[c for c in w if c.isalpha()] for w in clean.split()]
+    words = [w for w in words if w]
+    share = lambda f: round(sum(map(f, solid)) / len(solid), 4) if solid else 0.0
+    odd = lambda c: "\xa8" == c or "\xc0" <= c <= "\xff" and c not in "\xd7\xf7" or c in "Œ†"
+    arabic = lambda c: any(a <= ord(c) <= b for a, b in ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)))
+    control = lambda c: ord(c) < 32 or 0x7F <= ord(c) <= 0x9F
+    return len(solid), share(odd), share(arabic), share(control), share(lambda c: c.isalnum() and not odd(c)), round(sum(len(w) == 1 for w in words) / len(words), 4) if words else 0.0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="ab ,.\n\t\x00\x85é×قﻻ٣\u200b\u2028Œ7½", max_size=60), min_size=1, max_size=50))
+def test_grader_counts_like_letter_by_letter(spark, texts):
+    df = T.grade(spark.createDataFrame(list(enumerate(texts)), "i int, v string"), "v", "g").orderBy("i")
+    for t, r in zip(texts, df.collect(), strict=True):
+        g, want = r["g"], graded(t)
+        assert (g["chars"], g["mojibake"], g["arabic"], g["control"], g["letters"]) == want[:5]
+        assert g["single_letter_words"] == (want[5] if g["status"] in ("ok", "degraded") else None)
+
+
+def test_few_words_have_their_share(spark):
+    g = T.grade(spark.createDataFrame([("a b cde fghij klmno pqrst uvwxy",)], "v string"), "v").first()["grade"]
+    assert g["status"] == "ok" and g["single_letter_words"] == 0.2857
+
+
+def test_bodies(spark):
+    body = lambda path, *v: run(spark, lambda c: T.redact_body(F.lit(path), c, 60), *v)
+    assert body("/ingest", '{"fileBase64": "abcd", "x": 1, "fileBase64" :"ab"}', "{}", None) == ['{"fileBase64": "<4 base64 chars>", "x": 1, "fileBase64" :"<2\n... [truncated 16 more chars]', "{}", ""]
+    whole = '{"notebookId": "n", "sourceId": 5, "pages": [{"text": "abc"}, {"text": null}, 7, {"page": 1}]}'
+    assert body("/ingest/text/", whole) == ['{"notebookId": "n", "sourceId": 5, "fileName": null, "collection": null, "pages": 4, "chars": 3}']
+    assert body("/ingest/text", '{"pages": null}', "{}") == ['{"notebookId": null, "sourceId": null, "fileName": null, "collection": null, "pages": 0, "chars": 0}'] * 2
+    assert body("/ingest/text", '{"pages": [', "[1]", '{"pages": "x&token=s"}') == ['{"pages": [', "[1]", '{"pages": "x&token=<redacted>"}']
+
+
 def test_small_formats(spark):
     assert run(spark, T.human_bytes, 0, 1023, 1024, 1536, 1048576, None, kind="bigint") == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 MB", None]
     assert run(spark, T.redact_url, "http://x/?a=1&TOKEN=s3cret&b=2", None) == ["http://x/?a=1&TOKEN=<redacted>&b=2", ""]
@@ -67,7 +105,7 @@ def test_small_formats(spark):
 def test_redact_body(spark):
     rows = spark.createDataFrame([("/ingest/text", '{"notebookId":"n","pages":[{"text":"abc"},{"text":null}]}'), ("/x", '{"fileBase64":"AAAA","u":"?key=1"}'), ("/x", "y" * 2100), ("/ingest/text/", "not json")], "p string, b string")
     out = [r[0] for r in rows.select(T.redact_body(F.col("p"), F.col("b"))).collect()]
-    assert '"pages":2' in out[0] and '"chars":3' in out[0]
+    assert '"pages": 2' in out[0] and '"chars": 3' in out[0]
     assert out[1] == '{"fileBase64":"<4 base64 chars>","u":"?key=<redacted>"}'
     assert out[2] == "y" * 2000 + "\n... [truncated 100 more chars]"
     assert out[3] == "not json"
