@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import clean_text, figure_lines, trim_unicode
+from corpuslake.functions.text import clean_text, figure_lines, grade, trim_unicode
 
 # What makes an image a figure and a page visual.
 FIGURE_AREA, REPEATED_PAGES, FIGURE_CONTRAST, VISUAL_PATHS, MOST_VISION_PAGES = 0.08, 3, 18.0, 50, 60
@@ -70,6 +70,41 @@ def assemble(pages: DataFrame, prefix: str = "[Figure]", sentinel: str = "no fig
     return pages.withColumn("method", method).withColumn("text", out).drop("reply")
 
 
+def extract(pages: DataFrame, layout: DataFrame, replies: DataFrame, budget: int = MOST_VISION_PAGES, group: str = "source_id") -> DataFrame:
+    """Page-wise extraction: texts graded, vision calls planned, replies put in.
+
+    ``pages``: group, page, text; one row a page. ``layout``: group, page, figures, visual
+    (a page without a row shows nothing). ``replies``: group, page, reply, one row for a
+    page at most; only replies to planned calls count. Gives group, page, status, kind,
+    truncated, text, method, images, failed (a planned call without a reply). Unusable
+    text layers, junk and empty ones, leave a page without text unless it was read anew.
+    """
+    keys = [group, "page"]
+    graded = grade(pages.select(*keys, "text"), "text", "g").select(*keys, F.when(F.col("g.status").isin("ok", "degraded"), clean_text(F.col("text"))).otherwise("").alias("text"), F.col("g.status").alias("status"))
+    rows = graded.join(layout.select(*keys, "figures", "visual"), keys, "left")
+    planned = plan_vision(rows.select(*keys, "status", "figures", "visual"), budget, group)
+    rows = rows.select(*keys, "text", F.coalesce("figures", F.lit(0)).alias("images")).join(planned, keys).join(replies.select(*keys, "reply"), keys, "left")
+    rows = rows.withColumn("reply", F.when(F.col("kind").isNotNull(), F.col("reply")))
+    return assemble(rows.withColumn("failed", F.col("kind").isNotNull() & F.col("reply").isNull()))
+
+
+def extraction_report(extracted: DataFrame, group: str = "source_id") -> DataFrame:
+    """(group, pages, method, vision_pages, failed_pages, truncated, all_failed) of extracted pages.
+
+    all_failed: calls were planned, none succeeded and no page has text, so the extraction
+    is an error.
+    """
+    by = extracted.groupBy(group).agg(
+        F.count("*").alias("pages"),
+        F.count_if(F.col("kind").isNotNull() & ~F.col("failed")).alias("vision_pages"),
+        F.count_if("failed").alias("failed_pages"),
+        F.bool_or("truncated").alias("truncated"),
+        F.count_if(filled(F.col("text"))).alias("with_text"),
+    )
+    by = by.withColumn("all_failed", (F.col("failed_pages") > 0) & (F.col("vision_pages") == 0) & (F.col("with_text") == 0)).drop("with_text")
+    return by.join(document_method(extracted, group), group)
+
+
 def document_method(pages: DataFrame, group: str = "source_id") -> DataFrame:
     """(group, method): text, ocr or mixed, by the methods of the pages that hold text; none counts as text."""
     rows = pages.withColumn("m", F.when(filled(F.col("text")), F.coalesce("method", F.lit("text"))))

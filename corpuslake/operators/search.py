@@ -35,8 +35,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, space: str = "l2", key: str
     cols = [F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(same).cast("string").alias("s")] if same else [F.lit("").alias("s")])]
     kind = base.schema[key].dataType.simpleString()
     asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(*cols)
-    n = asked.count()
-    width = asked.agg(F.max(F.size("v"))).first()[0] or 0
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     blocks = max(1, -(-n * width * 8 // MOST_QUERY_BYTES))
     out = None
     for i in range(blocks):
@@ -120,6 +119,17 @@ def rerank(candidates: DataFrame, replies: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("new_rank", order).withColumn("delta", F.col("rank") - F.col("new_rank")).drop("at")
 
 
+def same_content_first(ranked: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Reranked rows whose contents are equal all show the first candidate with that content: a reranker names contents, not rows.
+
+    ``columns`` are taken from that candidate, and rank too, which delta follows.
+    """
+    first = Window.partitionBy(group, "content")
+    rows = ranked.withColumn("__first", F.min_by(F.struct("rank", *columns), "rank").over(first))
+    rows = rows.withColumns({c: F.col(f"__first.{c}") for c in ("rank", *columns)}).drop("__first")
+    return rows.withColumn("delta", F.col("rank") - F.col("new_rank"))
+
+
 def attribution(results: DataFrame, group: list[str]) -> DataFrame:
     """Results by where they come from: count, least distance and the first row's ids; most first, equal counts by first appearance."""
     label = F.coalesce(F.nullif("source_id", F.lit("")), F.nullif("source", F.lit("")), F.lit("(unknown)"))

@@ -19,6 +19,8 @@ from corpuslake.functions.vectors import hashed_embedding, l2_normalize, vocabul
 
 T = TypeVar("T")
 BATCH = 100
+#: What an embedder may be told about its texts, where a collection's flags ask for it.
+DOCUMENT, QUERY = "RETRIEVAL_DOCUMENT", "RETRIEVAL_QUERY"
 
 
 class ProviderError(RuntimeError):
@@ -38,18 +40,19 @@ def retried(call: Callable[[], T], attempts: int = 4, first_wait: float = 0.5) -
 
 class Embedder(ABC):
     @abstractmethod
-    def column(self, text: Column) -> Column: ...
+    def column(self, text: Column, task: str | None = None) -> Column: ...
 
-    def embed(self, df: DataFrame, text: str = "content", normalized: bool = True) -> DataFrame:
-        v = self.column(F.col(text))
-        return df.withColumn("embedding", (l2_normalize(v) if normalized else v).cast("array<float>"))
+    def embed(self, df: DataFrame, text: str = "content", normalized: bool = True, task: str | None = None) -> DataFrame:
+        """Adds embedding; ``task`` tells documents from queries, None says nothing."""
+        rows = df.withColumn("embedding", self.column(F.col(text), task))
+        return rows.withColumn("embedding", (l2_normalize(F.col("embedding")) if normalized else F.col("embedding")).cast("array<float>"))
 
 
 class HashedEmbedder(Embedder):
     def __init__(self, dims: int = 64):
         self.dims = dims
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, task: str | None = None) -> Column:
         return hashed_embedding(text, self.dims)
 
 
@@ -57,24 +60,24 @@ class VocabularyEmbedder(Embedder):
     def __init__(self, words: list[str]):
         self.words = words
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, task: str | None = None) -> Column:
         return vocabulary_embedding(text, self.words)
 
 
 class CalledEmbedder(Embedder):
-    """A function from texts to vectors, called with batches of at most 100 texts."""
+    """A function from texts, and the task if there is one, to vectors; called with batches of at most 100 texts."""
 
-    def __init__(self, call: Callable[[list[str]], list[list[float]]]):
+    def __init__(self, call: Callable[..., list[list[float]]]):
         self.call = call
 
-    def column(self, text: Column) -> Column:
-        call = self.call
+    def column(self, text: Column, task: str | None = None) -> Column:
+        call, told = self.call, [task] if task else []
 
         @F.pandas_udf("array<float>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 texts = s.fillna("").tolist()
-                yield pd.Series([v for i in range(0, len(texts), BATCH) for v in retried(lambda i=i, t=texts: call(t[i : i + BATCH]))])
+                yield pd.Series([v for i in range(0, len(texts), BATCH) for v in retried(lambda i=i, t=texts: call(t[i : i + BATCH], *told))])
 
         return run(text)
 

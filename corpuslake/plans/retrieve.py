@@ -9,21 +9,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import history_text
 from corpuslake.operators import filters, rollup, search
-from corpuslake.plans.catalog import Catalog
-from corpuslake.plans.providers import Embedder, lexical_order, same_question
+from corpuslake.plans.catalog import Catalog, Flags
+from corpuslake.plans.providers import QUERY, Embedder, lexical_order, same_question
 from corpuslake.plans.requests import Retrieve, Trace
 
-CANDIDATES = 20
+CANDIDATES, LAST_TURNS = 20, 6
 Order = Callable[[Column, Column], Column]
 Rewrite = Callable[[Column, Column | None], Column]
 _RESULT = ["id", "notebook_id", "source_id", "source", "page_start", "page_end", "content"]
 
 
-def _asked(chunks: DataFrame, questions: list[str], embedder: Embedder, normalized: bool, rewrite: Rewrite = same_question) -> DataFrame:
+def conversation(turns: list[tuple[str, str]]) -> Column:
+    """The last six turns (role, content) of a request as the lines a rewriting model is shown."""
+    last = [F.struct(F.lit(role).alias("role"), F.lit(content).alias("content")) for role, content in turns[-LAST_TURNS:]]
+    return history_text(F.array(*last) if last else F.lit(None).cast("array<struct<role:string,content:string>>"))
+
+
+def _asked(chunks: DataFrame, questions: list[str], embedder: Embedder, flags: Flags, rewrite: Rewrite = same_question, turns: list[tuple[str, str]] | None = None) -> DataFrame:
     rows = chunks.sparkSession.createDataFrame(list(enumerate(questions)), "query_index int, question string")
-    rows = rows.withColumn("asked", rewrite(F.col("question"), None))
-    return embedder.embed(rows, "asked", normalized).select(F.col("query_index").cast("string").alias("id"), "question", "asked", "embedding")
+    rows = rows.withColumn("asked", rewrite(F.col("question"), conversation(turns or [])))
+    embedded = embedder.embed(rows, "asked", flags.normalized, QUERY if flags.task_types else None)
+    return embedded.select(F.col("query_index").cast("string").alias("id"), "question", "asked", "embedding")
 
 
 def retrieve(catalog: Catalog, collection: str, request: Retrieve, embedder: Embedder, order: Order | None = lexical_order, rewrite: Rewrite = same_question) -> DataFrame:
@@ -31,7 +39,7 @@ def retrieve(catalog: Catalog, collection: str, request: Retrieve, embedder: Emb
     flags = catalog.flags(collection)
     chunks = catalog.read(collection).where(filters.scope(request.notebooks, request.sources))
     questions = request.queries or [request.question]
-    asked = _asked(chunks, questions, embedder, flags.normalized, rewrite if not request.queries else same_question)
+    asked = _asked(chunks, questions, embedder, flags, rewrite if not request.queries else same_question, request.history)
     wide = request.k if request.queries else max(CANDIDATES, request.k)
     hits = search.knn(chunks, asked, wide, flags.space)
     rows = hits.join(chunks.select(*_RESULT), "id")
@@ -52,11 +60,11 @@ def traced(catalog: Catalog, collection: str, request: Trace, embedder: Embedder
     flags = catalog.flags(collection)
     scoped = filters.scope(request.notebooks) if request.notebooks else None
     chunks = catalog.read(collection).where(filters.matching(source=request.source, scoped=scoped))
-    asked = _asked(chunks, [request.question], embedder, flags.normalized, rewrite if request.rewrite else same_question)
+    asked = _asked(chunks, [request.question], embedder, flags, rewrite if request.rewrite else same_question)
     rows = search.knn(chunks, asked, request.k, flags.space).join(chunks.select(*_RESULT), "id").withColumn("similarity", search.similarity(F.col("distance")))
     listed = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("contents"))
     reply = order(F.lit(request.question), F.col("contents")) if request.rerank else F.lit(None).cast("string")
-    rows = search.rerank(rows, listed.select("query_id", reply.alias("reply")), "query_id")
+    rows = search.same_content_first(search.rerank(rows, listed.select("query_id", reply.alias("reply")), "query_id"), "query_id", [*_RESULT, "distance", "similarity"])
     kept = rows.where(F.col("new_rank") <= request.final_k) if request.final_k else rows
     return kept.orderBy("new_rank"), search.attribution(kept.withColumn("rank", F.col("new_rank")), ["query_id"]).drop("query_id")
 

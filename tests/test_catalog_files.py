@@ -4,9 +4,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake.operators import browse, rollup
 from corpuslake.plans import ingest
 from corpuslake.plans.catalog import Catalog, ConflictError, Flags, FencedError, MissingError, space_of
 from corpuslake.plans.providers import CalledEmbedder, HashedEmbedder, ProviderError, VocabularyEmbedder, retried
+from corpuslake.plans.requests import IngestText
 from corpuslake.sources import files
 
 
@@ -49,6 +51,59 @@ def test_collection_life(spark, tmp_path):
     assert c.reset("live_docs", "live_docs") == len(after) and c.read("live_docs").count() == 0
 
 
+def test_of_two_writers_one_succeeds(spark, tmp_path):
+    first, second = (Catalog(spark, str(tmp_path / "store")) for _ in range(2))
+    first.create("docs", Flags.new(8))
+    begun = second.entry("docs")
+    rows = spark.createDataFrame([("a:00000", "n")], "id string, notebook_id string")
+    rows = rows.select("id", "notebook_id", *(F.lit(None).alias(c) for c in "source_id source chunk_index page_start page_end content embedding seq".split()))
+    first.write("docs", rows)
+    # The second has read the entry before and comes to its commit after.
+    second.entry = lambda name: begun
+    with pytest.raises(ConflictError):
+        second.write("docs", rows.limit(0))
+    del second.entry
+    assert second.read("docs").count() == 1 and second.entry("docs")["version"] == 1
+    assert len([x for x in (tmp_path / "store").iterdir() if ".v" in x.name and not x.name.endswith(".crc")]) == 1
+    with pytest.raises(ConflictError):
+        second.create("docs")
+
+
+def test_order_of_writing_over_sources(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "store"))
+    c.create("docs", Flags.new(8))
+    e = HashedEmbedder(8)
+    for source in ("z", "a", "m"):
+        ingest.store_pages(c, "docs", pages(spark, 6, source=source), e)
+    both = pages(spark, 4, source="q").unionByName(pages(spark, 4, source="p"))
+    ingest.store_pages(c, "docs", both, e)
+    rows = c.read("docs")
+    assert rows.select("seq").distinct().count() == rows.count()
+    listed = []
+    for offset in range(0, rows.count(), 3):
+        listed += [r["id"] for r in browse.page(rows, F.lit(True), 3, offset).orderBy("seq").collect()]
+    by = {s: sorted(x for x in listed if x.startswith(s)) for s in "zampq"}
+    assert listed == by["z"] + by["a"] + by["m"] + by["p"] + by["q"]
+    assert [r["source_key"] for r in rollup.by_source(rows).orderBy("first_seq").collect()] == ["z", "a", "m", "p", "q"]
+
+
+def test_flags_name_the_chunker_and_the_task(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "store"))
+    told = str(tmp_path / "told")
+
+    def call(texts, task=None):
+        open(told, "a").write(f"{task};")
+        return [[1.0, 0.0] for _ in texts]
+
+    for name, flags in (("plain", Flags(2)), ("tasked", Flags(2, True, True, "pages_v1", True, "cosine"))):
+        c.create(name, flags)
+        open(told, "w").close()
+        ingest.store_request(c, name, IngestText("nb", "src", [(1, "word " * 300), (2, "more " * 300)]), CalledEmbedder(call))
+        assert set(open(told).read().split(";")) == ({"None", ""} if name == "plain" else {"RETRIEVAL_DOCUMENT", ""})
+    assert {r["page_start"] for r in c.read("plain").collect()} == {None}
+    assert {r["page_start"] for r in c.read("tasked").collect()} == {1, 2}
+
+
 def test_flags_are_strict():
     f = Flags.read({"dimensions": "7", "normalized": 1, "task_types": True, "chunker": "pages_v1", "hnsw": {"space": "ip"}})
     assert (f.dimensions, f.normalized, f.task_types, f.pages, f.space) == (3072, False, True, True, "ip")

@@ -107,3 +107,20 @@ def test_assemble_and_method(spark):
     df = P.assemble(spark.createDataFrame(rows, "source_id string, page int, text string, kind string, reply string"))
     assert [(r["text"], r["method"]) for r in df.orderBy("page").collect()] == [("kept", "text"), ("read text", "ocr"), ("t\n\n[Figure] a", "text+vision"), ("t", "text"), ("t", "text")]
     assert P.document_method(df).first()["method"] == "mixed"
+
+
+def test_page_wise_extraction(spark):
+    good = "A clean page of text with quite enough letters."
+    pages = spark.createDataFrame([("a", 1, good), ("a", 2, "+-*/=<> " * 20), ("a", 3, None), ("a", 4, good), ("b", 1, ""), ("c", 1, "\ufffd" * 50)], "source_id string, page int, text string")
+    layout = spark.createDataFrame([("a", 3, 0, True), ("a", 4, 2, True), ("b", 1, 1, True)], "source_id string, page int, figures int, visual boolean")
+    replies = spark.createDataFrame([("a", 2, "Read anew."), ("a", 4, "[Figure] a tower"), ("a", 1, "not asked for")], "source_id string, page int, reply string")
+    out = P.extract(pages, layout, replies)
+    rows = {(r["source_id"], r["page"]): (r["status"], r["kind"], r["text"], r["method"], r["failed"]) for r in out.collect()}
+    assert rows == {
+        ("a", 1): ("ok", None, good, "text", False), ("a", 2): ("junk", "ocr", "Read anew.", "ocr", False), ("a", 3): ("empty", "ocr", "", "text", True),
+        ("a", 4): ("ok", "describe", good + "\n\n[Figure] a tower", "text+vision", False), ("b", 1): ("empty", "ocr", "", "text", True), ("c", 1): ("junk", "ocr", "", "text", True),
+    }
+    report = {r["source_id"]: r for r in P.extraction_report(out).collect()}
+    assert (report["a"]["method"], report["a"]["vision_pages"], report["a"]["failed_pages"], report["a"]["all_failed"]) == ("mixed", 2, 1, False)
+    assert report["b"]["all_failed"] and report["c"]["all_failed"]
+    assert P.extract(pages, layout, replies, 1).where("truncated").count() == 4

@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
+from corpuslake.operators import search
 from corpuslake.plans import ingest, requests as R
 from corpuslake.plans.catalog import Catalog, Flags
 from corpuslake.plans.providers import VocabularyEmbedder
-from corpuslake.plans.retrieve import Snapshots, retrieve, traced
+from corpuslake.plans.retrieve import Snapshots, conversation, retrieve, traced
 from corpuslake.streaming import ingest as streaming
 
 WORDS = ["photosynthesis", "chlorophyll", "fractions", "volcano"]
@@ -25,6 +27,19 @@ def test_one_question(store):
     assert [r["source_id"] for r in retrieve(store, "docs", R.Retrieve("volcano", sources=["s0", "s3"]), VocabularyEmbedder(WORDS)).collect()] == ["s3", "s0"]
 
 
+def test_history_reaches_the_rewriter(store):
+    turns = [("user", f"turn {i}") for i in range(7)] + [("assistant", "about volcano")]
+    seen = lambda q, h: F.when(h.contains("Assistant: about volcano") & ~h.contains("turn 1"), "volcano").otherwise(q)
+    ask = lambda history: [r["source_id"] for r in retrieve(store, "docs", R.Retrieve("explain more", notebooks=["own", "library"], history=history, k=1), VocabularyEmbedder(WORDS), None, seen).collect()]
+    assert ask(turns) == ["s3"] and store.spark.range(1).select(conversation([])).first()[0] == "(no prior conversation)"
+
+
+def test_equal_contents_show_the_first(spark):
+    rows = spark.createDataFrame([("q", 1, "a", "x", 3), ("q", 2, "b", "y", 2), ("q", 3, "c", "x", 1)], "g string, rank int, id string, content string, new_rank int").withColumn("delta", F.col("rank") - F.col("new_rank"))
+    out = search.same_content_first(rows, "g", ["id"]).orderBy("new_rank").collect()
+    assert [(r["new_rank"], r["id"], r["rank"], r["delta"]) for r in out] == [(1, "a", 1, 0), (2, "b", 2, 0), (3, "a", 1, -2)]
+
+
 def test_several_questions(store):
     rows = retrieve(store, "docs", R.Retrieve("volcano", queries=["fractions", " volcano "], notebooks=["own", "library"], k=2), VocabularyEmbedder(WORDS)).collect()
     assert [r["source_id"] for r in rows] == ["s3", "s2"]
