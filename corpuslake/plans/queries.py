@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -217,7 +218,7 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scope_or", f"WITH {CURRENT} SELECT id, notebook_id, source_id FROM cur WHERE notebook_id IN ('nb_shared_library') OR source_id IN (SELECT min(source_id) FROM sources)")
 def scope_or(spark: SparkSession, d: str) -> DataFrame:
-    first = _read(spark, d, "sources").agg(F.min("source_id")).first()[0]
+    first = _read(spark, d, "sources").agg(F.min("source_id")).scalar()
     return _current(spark, d).where(filters.scope(["nb_shared_library"], [first])).select("id", "notebook_id", "source_id")
 
 
@@ -279,42 +280,70 @@ def usage_cost(spark: SparkSession, d: str) -> DataFrame:
 # Text.
 
 
-def _chain_sql(c: str) -> str:
-    for pattern, to in T.NORMALIZE_STEPS:
-        to = to.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
-        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
-    return c
+# SQL of its own for the text functions: line by line and letter by letter where the functions use patterns.
+_NL = "chr(10)"
+_LINE_BLANKS = "' ' || chr(8232) || chr(8233)"
+_PRESENTED = "{" + ", ".join(f"'{chr(i)}': '{unicodedata.normalize('NFKC', chr(i))}'" for r in (range(0xFB00, 0xFE00), range(0xFE70, 0xFEFF)) for i in r if unicodedata.normalize("NFKC", chr(i)) != chr(i)) + "}"
 
 
-@query("normalize_light", f"SELECT row_id, md5({_chain_sql('text')}) AS text FROM page_text")
-def normalize_light(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "page_text").select("row_id", F.md5(T.normalize_light(F.col("text"))).alias("text"))
+def _normal_sql(c: str) -> str:
+    c = f"regexp_replace({c}, '\\r\\n?', {_NL}, 'g')"
+    c = f"regexp_replace({c}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', ' ', 'g')"
+    c = f"regexp_replace({c}, '[\\x{{AD}}\\x{{200B}}\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}\\x{{2066}}-\\x{{2069}}\\x{{FEFF}}]', '', 'g')"
+    c = f"regexp_replace({c}, '[\\t \\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')"
+    c = f"array_to_string(list_transform(str_split({c}, {_NL}), lambda l: trim(l, {_LINE_BLANKS})), {_NL})"
+    return f"trim(regexp_replace({c}, '\\n\\n\\n+', {_NL} || {_NL}, 'g'), {_LINE_BLANKS} || {_NL})"
 
 
-@query("clean_text")
-def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "page_text").select("row_id", T.clean_text(F.col("text")).alias("text"))
+def _clean_sql(c: str) -> str:
+    folded = f"CASE WHEN regexp_matches({c}, '[\\x{{FB00}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFE}}]') THEN array_to_string(list_transform(str_split({c}, ''), lambda z: coalesce(element_at(presented.m, z)[1], z)), '') ELSE {c} END"
+    return _normal_sql(f"replace(replace({folded}, chr(1600), ''), chr(65533), '')")
 
 
-_COUNT = "len(regexp_extract_all(solid, '{}'))"
-_GRADE = f"""WITH r AS (SELECT row_id, coalesce(text, '') AS raw, {_chain_sql("regexp_replace(coalesce(text, ''), '[\\x{640}\\x{fffd}]', '', 'g')")} AS cleaned FROM page_text),
-    s AS (SELECT *, regexp_replace(raw, '{SPACE_SQL}', '', 'g') AS solid FROM r),
-    c AS (SELECT *, length(solid) AS n, {_COUNT.format(T.MOJIBAKE)} AS mojibake, {_COUNT.format(T.ARABIC)} AS arabic, {_COUNT.format(T.CONTROL)} AS control, {_COUNT.format("[\\x{e000}-\\x{f8ff}]")} AS pua, {_COUNT.format("\\x{fffd}")} AS fffd,
-        len(regexp_extract_all(regexp_replace(solid, '{T.MOJIBAKE}', '', 'g'), '[\\p{{L}}\\p{{N}}]')) AS letters FROM s)
-    SELECT row_id, n AS chars, CASE WHEN n > 0 THEN round(mojibake * 10000 / n) / 10000 ELSE 0 END AS mojibake, CASE WHEN n > 0 THEN round(arabic * 10000 / n) / 10000 ELSE 0 END AS arabic, CASE WHEN n > 0 THEN round(control * 10000 / n) / 10000 ELSE 0 END AS control,
-    CASE WHEN n > 0 THEN round(pua * 10000 / n) / 10000 ELSE 0 END AS pua, CASE WHEN n > 0 THEN round(fffd * 10000 / n) / 10000 ELSE 0 END AS fffd, CASE WHEN n > 0 THEN round(letters * 10000 / n) / 10000 ELSE 0 END AS letters FROM c"""
+_WITH_PRESENTED = f"presented AS (SELECT MAP {_PRESENTED} AS m)"
 
 
-@query("text_grade_shares", _GRADE)
+@query("normalize_light", f"SELECT row_id, md5({_normal_sql('text')}) AS text FROM page_text")
+def normalize_light(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "page_text").select("row_id", F.md5(T.normalize_light(F.col("text"))).alias("text"))
+
+
+@query("clean_text", f"WITH {_WITH_PRESENTED} SELECT row_id, md5({_clean_sql('text')}) AS text FROM page_text, presented")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "page_text").select("row_id", F.md5(T.clean_text(F.col("text"))).alias("text"))
+
+
+def _grade_sql(rows: str, key: str) -> str:
+    """Common table expressions that end in ``graded``: the grade of the texts of ``rows`` (key, text)."""
+    count = lambda p: f"length(regexp_replace(solid, '[^{p}]', '', 'g'))"
+    odd = "\\x{A1}-\\x{A6}\\x{A8}\\x{AA}\\x{AC}\\x{AD}\\x{AF}\\x{B4}\\x{B6}\\x{B8}-\\x{BA}\\x{BF}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}\\x{152}\\x{153}\\x{160}\\x{161}\\x{178}\\x{17D}\\x{17E}\\x{192}\\x{2C6}\\x{2DC}\\x{2030}\\x{2039}\\x{203A}\\x{2020}\\x{2021}"
+    arabic = "\\x{600}-\\x{6FF}\\x{750}-\\x{77F}\\x{8A0}-\\x{8FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFC}"
+    control = "\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{84}\\x{86}-\\x{9F}"
+    return f"""{_WITH_PRESENTED}, raw AS (SELECT {key}, coalesce(text, '') AS raw FROM {rows}),
+    solid AS (SELECT {key}, raw, regexp_replace(raw, '{SPACE_SQL}', '', 'g') AS solid, {_clean_sql('raw')} AS clean FROM raw, presented),
+    counted AS (SELECT *, length(solid) AS n, {count(odd)} AS odd, {count(arabic)} AS arabic, {count(control)} AS control, {count("\\x{E000}-\\x{F8FF}")} AS private, {count("\\x{FFFD}")} AS lost,
+        length(regexp_replace(regexp_replace(solid, '[{odd}]', '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters,
+        coalesce(list_sum(list_transform(regexp_extract_all(raw, '/(?:[A-Za-z]{{1,2}}[0-9+]{{1,6}}|uni[0-9A-Fa-f]{{4,6}})'), lambda g: length(g))), 0) AS glyph,
+        length(regexp_replace(clean, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS readable,
+        list_filter(list_transform(string_split_regex(clean, '\\s+'), lambda w: length(regexp_replace(w, '[^\\p{{L}}]', '', 'g'))), lambda x: x > 0) AS words FROM solid),
+    judged AS (SELECT *, len(list_filter(words, lambda x: x = 1)) AS single, array_to_string(list_filter([CASE WHEN n > 0 AND glyph / n >= 0.14995 THEN 'glyph-names' END, CASE WHEN n > 0 AND control / n >= 0.04995 THEN 'control-chars' END,
+        CASE WHEN n > 0 AND private / n >= 0.09995 THEN 'private-use' END, CASE WHEN n > 0 AND odd / n >= 0.07995 AND arabic / n < 0.29995 THEN 'mojibake' END, CASE WHEN n > 0 AND lost / n >= 0.14995 THEN 'replacement-chars' END], lambda x: x IS NOT NULL), ',') AS damage FROM counted),
+    graded AS (SELECT *, CASE WHEN damage <> '' OR (n > 0 AND letters / n < 0.29995) THEN 'junk' WHEN readable < 20 THEN 'empty' WHEN (n > 0 AND lost / n >= 0.01995) OR (len(words) >= 30 AND single / len(words) >= 0.49995) THEN 'degraded' ELSE 'ok' END AS status FROM judged)"""
+
+
+@query("text_grade_shares", f"WITH {_grade_sql('page_text', 'row_id')} SELECT row_id, n AS chars, odd::BIGINT AS mojibake, arabic::BIGINT AS arabic, control::BIGINT AS control, private::BIGINT AS pua, lost::BIGINT AS fffd, letters::BIGINT AS letters, glyph::BIGINT AS glyph FROM graded")
 def text_grade_shares(spark: SparkSession, d: str) -> DataFrame:
     g = T.grade(_read(spark, d, "page_text").select("row_id", "text"), "text", "g")
-    return g.select("row_id", F.col("g.chars").cast("bigint").alias("chars"), *(F.col(f"g.{k}").alias(k) for k in ("mojibake", "arabic", "control", "pua", "fffd", "letters")))
+    # Shares of four digits tell the counts behind them, which round alike everywhere.
+    return g.select("row_id", F.col("g.chars").cast("bigint").alias("chars"), *(F.round(F.col(f"g.{k}") * F.col("g.chars")).cast("bigint").alias(k) for k in ("mojibake", "arabic", "control", "pua", "fffd", "letters", "glyph")))
 
 
-@query("text_grade")
+@query("text_grade", f"""WITH {_grade_sql('page_text', 'row_id')} SELECT row_id, status, CASE WHEN damage <> '' THEN damage WHEN status = 'junk' THEN 'few-letters' WHEN status = 'empty' THEN 'no-text'
+    ELSE array_to_string(list_filter([CASE WHEN n > 0 AND lost / n >= 0.01995 THEN 'replacement-chars' END, CASE WHEN len(words) >= 30 AND single / len(words) >= 0.49995 THEN 'broken-words' END], lambda x: x IS NOT NULL), ',') END AS reasons,
+    CASE WHEN status IN ('ok', 'degraded') THEN CASE WHEN len(words) > 0 THEN floor(100 * single / len(words) + 0.002)::BIGINT ELSE 0 END END AS single_percent FROM graded""")
 def text_grade(spark: SparkSession, d: str) -> DataFrame:
     g = T.grade(_read(spark, d, "page_text").select("row_id", "text"), "text", "g")
-    return g.select("row_id", "g.status", F.array_join("g.reasons", ",").alias("reasons"))
+    return g.select("row_id", "g.status", F.array_join("g.reasons", ",").alias("reasons"), F.floor(F.col("g.single_letter_words") * 100 + 0.002).alias("single_percent"))
 
 
 @query("redact_url", "SELECT source_id, regexp_replace('https://files.example/' || coalesce(file_name, '') || '?page=1&token=' || source_id || '&key=' || source_id || '#top', '(?i)((?:[?&]|\\\\u0026)(?:token|access_token|key|sig|signature|x-goog-signature)=)[^&#\"''\\s\\\\]+', '\\1<redacted>', 'g') AS url FROM sources")
@@ -323,10 +352,18 @@ def redact_url(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "sources").select("source_id", T.redact_url(url).alias("url"))
 
 
-@query("redact_body")
+@query("redact_body", """SELECT row_id, '{"notebookId": ' || coalesce('"' || notebook_id || '"', 'null') || ', "sourceId": "' || source_id || '", "fileName": null, "collection": null, "pages": 1, "chars": ' || length(coalesce(text, '')) || '}' AS summary,
+    '{"fileBase64": "<' || length(source_id) || ' base64 chars>", "u": "?key=<redacted>", "fileBase64":"<32 base64 chars>", "t": "' || repeat('x', page * 100) || '"}' AS whole FROM page_text WHERE source_id IS NOT NULL""")
 def redact_body(spark: SparkSession, d: str) -> DataFrame:
-    body = F.to_json(F.struct(F.col("source_id").alias("sourceId"), F.array(F.struct("text")).alias("pages")))
-    return _read(spark, d, "page_text").select("row_id", T.redact_body(F.lit("/ingest/text"), body).alias("summary"), T.redact_body(F.lit("/retrieve"), body).alias("cut"))
+    rows = _read(spark, d, "page_text").where("source_id is not null")
+    upload = F.to_json(F.struct(F.col("notebook_id").alias("notebookId"), F.col("source_id").alias("sourceId"), F.array(F.struct("text")).alias("pages")))
+    other = F.concat(F.lit('{"fileBase64": "'), "source_id", F.lit('", "u": "?key='), "source_id", F.lit('", "fileBase64":"'), F.md5("source_id"), F.lit('", "t": "'), F.repeat(F.lit("x"), F.col("page") * 100), F.lit('"}'))
+    return rows.select("row_id", T.redact_body(F.lit("/ingest/text"), upload).alias("summary"), T.redact_body(F.lit("/retrieve"), other, 1 << 30).alias("whole"))
+
+
+@query("redact_cut", """SELECT row_id, substr(text, 1, 100) || CASE WHEN length(text) > 100 THEN chr(10) || '... [truncated ' || (length(text) - 100) || ' more chars]' ELSE '' END AS cut FROM page_text WHERE text IS NOT NULL""")
+def redact_cut(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "page_text").where("text is not null").select("row_id", T.redact_body(F.lit("/retrieve"), F.col("text"), 100).alias("cut"))
 
 
 @query("human_bytes", """SELECT source_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
@@ -341,10 +378,26 @@ def disk_totals(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "sources").groupBy("collection").agg(F.sum("page_count").alias("pages")).orderBy(F.desc("pages"))
 
 
-@query("json_leaves")
+@query("json_leaves", "SELECT doc_id, array_to_string(list_filter([title, lang, source, edit_note, contributor], lambda x: trim(x) <> ''), chr(10)) AS text FROM documents")
 def json_leaves(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("file_name"), F.to_binary("props", F.lit("utf-8")).alias("content"))
-    return files.extract_text(rows).select("file_name", "text", "error")
+    value = F.struct("doc_id", "title", F.struct(F.array("lang", "source").alias("where"), "edit_note").alias("inner"), "is_minor", "contributor")
+    rows = _read(spark, d, "documents").select("doc_id", F.lit("x.json").alias("file_name"), F.encode(F.to_json(value), "utf-8").alias("content"))
+    return files.extract_text(rows).select("doc_id", "text")
+
+
+@query("json_entries", """SELECT source, 'אוניברסיטה: ' || source || chr(10) || 'תחום: ' || n || chr(10) || 'תנאי קבלה:' || chr(10) || '- ' || first || chr(10) || '- ' || last AS text
+    FROM (SELECT source, count(*)::VARCHAR AS n, min(title) AS first, max(title) AS last FROM documents WHERE source IS NOT NULL AND title <> '' GROUP BY source)""")
+def json_entries(spark: SparkSession, d: str) -> DataFrame:
+    by = _read(spark, d, "documents").where("source is not null and title <> ''").groupBy("source").agg(F.count("*").cast("string").alias("major"), F.min("title").alias("first"), F.max("title").alias("last"))
+    entry = F.struct("major", F.col("source").alias("university"), F.array("first", F.lit(""), "last").alias("requirements"))
+    rows = by.select("source", F.lit("x.json").alias("file_name"), F.encode(F.to_json(F.struct(F.array(entry).alias("list"))), "utf-8").alias("content"))
+    return files.extract_text(rows).select("source", "text")
+
+
+@query("plain_text", "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "documents").select("doc_id", F.lit("a.MD").alias("file_name"), F.encode("text", "utf-8").alias("content"))
+    return files.extract_text(rows).select("doc_id", F.md5("text").alias("text"))
 
 
 @query("html_text")
@@ -409,16 +462,46 @@ def document_method(spark: SparkSession, d: str) -> DataFrame:
     return pages.document_method(_read(spark, d, "extracted_pages"))
 
 
-@query("assembled_pages")
+def _figures_sql(c: str) -> str:
+    none = f"trim(trim(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '.،!:'), ' ' || chr(9) || chr(10) || chr(13)) IN ('', 'no figures')"
+    kept = f"list_filter(str_split(cleaned, {_NL}), lambda l: starts_with(l, '[Figure]'))"
+    return f"CASE WHEN {none} THEN '' WHEN len({kept}) > 0 THEN array_to_string({kept}, {_NL}) WHEN cleaned = '' THEN '' ELSE '[Figure] ' || cleaned END"
+
+
+@query("assembled_pages", f"""WITH {_WITH_PRESENTED}, e AS (SELECT source_id, page, max(text) AS text FROM extracted_pages WHERE page IS NOT NULL AND source_id IS NOT NULL GROUP BY source_id, page),
+    r AS (SELECT source_id, page, kind, text AS reply, row_number() OVER (PARTITION BY source_id, page ORDER BY created_at DESC, result_id DESC) AS n FROM vision_results WHERE page IS NOT NULL),
+    j AS (SELECT e.*, kind, reply FROM e LEFT JOIN r ON r.source_id = e.source_id AND r.page = e.page AND n = 1),
+    c AS (SELECT *, {_clean_sql("coalesce(reply, '')")} AS cleaned FROM j, presented),
+    l AS (SELECT *, {_figures_sql("coalesce(reply, '')")} AS lines FROM c)
+    SELECT source_id, page, CASE WHEN kind = 'ocr' AND reply IS NOT NULL THEN 'ocr' WHEN kind = 'describe' AND reply IS NOT NULL AND lines <> '' THEN 'text+vision' ELSE 'text' END AS method,
+    md5(CASE WHEN kind = 'ocr' AND reply IS NOT NULL THEN cleaned WHEN kind = 'describe' AND reply IS NOT NULL AND lines <> '' THEN regexp_replace(regexp_replace(coalesce(text, '') || {_NL} || {_NL} || lines, '^{SPACE_SQL}+', ''), '{SPACE_SQL}+$', '') ELSE coalesce(text, '') END) AS text FROM l""")
 def assembled_pages(spark: SparkSession, d: str) -> DataFrame:
-    e = _read(spark, d, "extracted_pages").where("page is not null").groupBy("source_id", "page").agg(F.max("text").alias("text"))
+    e = _read(spark, d, "extracted_pages").where("page is not null and source_id is not null").groupBy("source_id", "page").agg(F.max("text").alias("text"))
     replies = _read(spark, d, "vision_results").where("page is not null").groupBy("source_id", "page").agg(F.max_by(F.struct("kind", "text"), F.struct("created_at", "result_id")).alias("r"))
-    return pages.assemble(e.join(replies.select("source_id", "page", "r.kind", F.col("r.text").alias("reply")), ["source_id", "page"], "left"))
+    out = pages.assemble(e.join(replies.select("source_id", "page", "r.kind", F.col("r.text").alias("reply")), ["source_id", "page"], "left"))
+    return out.select("source_id", "page", "method", F.md5("text").alias("text"))
 
 
-@query("figure_lines")
+@query("figure_lines", f"WITH {_WITH_PRESENTED}, c AS (SELECT result_id, coalesce(text, '') AS reply, {_clean_sql("coalesce(text, '')")} AS cleaned FROM vision_results, presented), l AS (SELECT *, {_figures_sql('reply')} AS lines FROM c) SELECT result_id, md5(lines) AS lines, trim(trim(trim(reply, ' ' || chr(9) || chr(10) || chr(13)), '.،!:'), ' ' || chr(9) || chr(10) || chr(13)) IN ('', 'no figures') AS none FROM l")
 def figure_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "vision_results").select("result_id", T.figure_lines(F.col("text")).alias("lines"), T.no_figures(F.col("text")).alias("none"))
+    return _read(spark, d, "vision_results").select("result_id", F.md5(T.figure_lines(F.col("text"))).alias("lines"), T.no_figures(F.col("text")).alias("none"))
+
+
+_VISION = "SELECT source_id, page, max(images) AS figures FROM extracted_pages WHERE page IS NOT NULL GROUP BY source_id, page"
+
+
+@query("pagewise_extraction", f"""WITH m AS (SELECT source_id, page, max(text) AS text FROM extracted_pages WHERE source_id IS NOT NULL AND page IS NOT NULL GROUP BY source_id, page), k AS (SELECT *, source_id || '#' || page AS k FROM m),
+    {_grade_sql('k', 'k')}, v AS ({_VISION}), s AS (SELECT k.source_id, k.page, g.status, coalesce(v.figures, 0) AS figures, g.readable FROM k JOIN graded g USING (k) LEFT JOIN v ON v.source_id = k.source_id AND v.page = k.page),
+    t AS (SELECT *, CASE WHEN status = 'junk' OR (status = 'empty' AND figures > 0) THEN 0 WHEN status = 'degraded' THEN 1 WHEN status = 'ok' AND figures > 0 THEN 2 END AS tier FROM s),
+    o AS (SELECT *, CASE WHEN tier IS NOT NULL THEN row_number() OVER (PARTITION BY source_id, tier IS NULL ORDER BY tier, page) END AS place, count(tier) OVER (PARTITION BY source_id) AS planned FROM t),
+    r AS (SELECT source_id, page, arg_max(text, (created_at, result_id)) AS reply FROM vision_results WHERE page IS NOT NULL AND text IS NOT NULL GROUP BY source_id, page),
+    j AS (SELECT o.*, reply, place <= 5 AS called FROM o LEFT JOIN r ON r.source_id = o.source_id AND r.page = o.page)
+    SELECT source_id, count(*) AS pages, count(*) FILTER (WHERE called AND reply IS NOT NULL) AS vision_pages, count(*) FILTER (WHERE called AND reply IS NULL) AS failed_pages, bool_or(planned > 5) AS truncated FROM j GROUP BY source_id""")
+def pagewise_extraction(spark: SparkSession, d: str) -> DataFrame:
+    merged = _read(spark, d, "extracted_pages").where("source_id is not null and page is not null").groupBy("source_id", "page").agg(F.max("text").alias("text"))
+    layout = _read(spark, d, "extracted_pages").where("page is not null").groupBy("source_id", "page").agg(F.max("images").alias("figures")).withColumn("visual", F.col("figures") > 0)
+    replies = _read(spark, d, "vision_results").where("page is not null and text is not null").groupBy("source_id", "page").agg(F.max_by("text", F.struct("created_at", "result_id")).alias("reply"))
+    return pages.extraction_report(pages.extract(merged, layout, replies, 5)).select("source_id", "pages", "vision_pages", "failed_pages", "truncated")
 
 
 @query("default_chunks")
@@ -432,9 +515,13 @@ def pages_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pages_chunks(pages.merge_pages(cleaned))
 
 
-@query("sections", "SELECT doc_id, 0 AS section, md5(text) AS content FROM documents WHERE text IS NOT NULL AND length(text) <= 12000")
+@query("sections", f"""WITH RECURSIVE p AS (SELECT doc_id, str_split(text, {_NL} || {_NL}) AS ps FROM documents WHERE length(text) > 700),
+    s AS (SELECT doc_id, ps, 1 AS i, 0 AS section, ps[1] AS content, length(ps[1]) + 2 AS n FROM p
+        UNION ALL SELECT doc_id, ps, i + 1, section + more::INT, CASE WHEN more THEN right(content, 60) ELSE content END || {_NL} || {_NL} || ps[i + 1], CASE WHEN more THEN least(60, length(content)) ELSE n END + length(ps[i + 1]) + 2
+        FROM (SELECT *, n + length(ps[i + 1]) + 2 > 700 AS more FROM s WHERE i < len(ps)))
+    SELECT doc_id, section, md5(arg_max(content, i)) AS content FROM s GROUP BY doc_id, section UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 700""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.sections(_read(spark, d, "documents"), "doc_id", "text").withColumn("content", F.md5("content"))
+    return chunking.sections(_read(spark, d, "documents"), "doc_id", "text", 700, 60).withColumn("content", F.md5("content"))
 
 
 @query("reply_chunks", f"WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(str_split(coalesce(text, ''), '== '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS content FROM documents) SELECT doc_id, count(*) AS pieces, sum(length(content))::BIGINT AS chars FROM p GROUP BY doc_id")
