@@ -223,16 +223,34 @@ def test_mutual_pairs_and_recall(spark):
     order = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), np.maximum(np.round(d, 6), 0)), axis=1)[:, :5]
     near = [set(r) for r in order]
     true = {(i, int(j)) for i in range(len(x)) for j in order[i] if i < j and i in near[j] and d[i, j] <= 0.03}
-    got = {(int(r["id_a"][1:]), int(r["id_b"][1:])) for r in neighbours.mutual_pairs(df, cell=300, sample=2000).collect()}
+    got = {(int(r["id_a"][1:]), int(r["id_b"][1:])) for r in neighbours.mutual_pairs(df, cell=40, sample=400).collect()}
     assert len(true) > 200 and len(got & true) >= 0.97 * len(true) and len(got - true) <= 0.02 * len(true)
     hits = total = 0
-    for r in neighbours.neighbour_lists(df, cell=300, sample=2000).collect():
+    for r in neighbours.neighbour_lists(df, cell=40, sample=400).collect():
         i = int(r["id"][1:])
         kth = np.sort(d[i])[9]
         hits, total = hits + (d[i, int(r["near"][1:])] <= kth + 1e-6), total + 1
     assert total % 10 == 0 and hits >= 0.9 * total
 
 
+def test_tree_is_deeper_than_its_sample(spark):
+    _, df = vectors(spark)
+    reps = neighbours.distinct_vectors(df, 64, 6)
+    w = neighbours.directions(64)
+    tree = neighbours.grown(reps, w, 30, 400)
+    u = np.stack([np.frombuffer(bytes(r["v"]), np.float32) for r in reps.collect()])
+    sizes = np.bincount(tree.home(u @ w), minlength=tree.n)
+    assert tree.n >= 64 and sizes.max() <= 30 and sizes.min() > 0 and sizes.sum() == len(u)
+    rows, cells = tree.visits(u @ w, np.full(len(u), 9.0), 1e-9)
+    assert len(rows) == len(u) * (tree.n - 1) and not (tree.home(u @ w)[rows] == cells).any()
+
+
+def test_hot_cells_are_divided(spark):
+    _, df = vectors(spark, 600)
+    plain = sorted((r["id_a"], r["id_b"]) for r in neighbours.mutual_pairs(df, cell=100, sample=400).collect())
+    assert sorted((r["id_a"], r["id_b"]) for r in neighbours.mutual_pairs(df, cell=100, sample=400, most_asking=30).collect()) == plain and plain
+
+
 def test_neighbours_of_nothing(spark):
     _, df = vectors(spark, 30)
     assert neighbours.mutual_pairs(df.limit(0)).count() == 0
