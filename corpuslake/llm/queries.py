@@ -32,6 +32,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.look_alike_pairs(_p2_tables(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return visual_form.look_alike_classes(_p2_tables(spark, d))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.forms_of_tables(_p2_tables(spark, d))
 

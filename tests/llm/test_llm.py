@@ -96,6 +96,8 @@ def test_transducer_is_idempotent_and_checked():
         assert t(a) == t(b) and t(t(a)) == t(a)
     assert t("Café") != t("Cafe") and t("A1") != t("a1") and t("a2") != t("a²")
     assert visual_form.readable(t("Почему река")) == "Почему река"
+    for a, b in [("𝐀𝟏", "A1"), ("օ", "o"), ("Ꭺ", "A"), ("ӏ", "l"), ("ı", "i"), ("3−1", "3-1"), ("Ω", "Ω"), ("e\u200d\u0301", "é"), ("е\u0301", "é"), ("a \u200b\u3000b", "a b"), (" \u00a0x \r\n\u2003y\n", "x\ny"), ("\u200b \n", ""), ("\U000e0041x", "x")]:
+        assert t(a) == t(b) == t(t(a)), a
     with pytest.raises(ValueError):
         visual_form.Transducer([("a", "b"), ("a", "c")])
     with pytest.raises(ValueError):
@@ -110,6 +112,16 @@ def test_look_alike_pairs(spark):
     versions = [("x", 1, long), ("x", 2, "other " + long), ("y", 1, long.replace("o", "ο"))]
     assert visual_form.look_alike_pairs([("t", table(spark, versions, "k string, v int, s string"), "k", "s", "v")]).count() == 0
     assert visual_form.look_alike_pairs([("t", table(spark, rows, "k long, s string").limit(0), "k", "s", None)]).count() == 0
+    classes = visual_form.look_alike_classes([("t", table(spark, rows, "k long, s string"), "k", "s", None)]).collect()
+    assert {(r["key"], r["strings"], r["records"], r["partners"]) for r in classes} == {("1", 2, 3, 1), ("2", 2, 3, 1), ("3", 2, 3, 2)} and len(classes) == 3
+
+
+def test_transducer_is_stable_on_any_text():
+    t, rng = visual_form.compile_transducer(), random.Random(9)
+    signs = [*"ab eéЕеёΑоＡ　\u00a0\u200b\u0301\u0308\u0323\n\r\t\u2028ﻻﬁ𝐀ıーか\u3099ᄒ\u1161\u11abـ", "\r\n", "  ", " \n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
+        assert t(t(text)) == t(text), text
 
 
 # 3. Splitting
