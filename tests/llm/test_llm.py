@@ -79,14 +79,39 @@ def test_all_words_of_a_form_are_candidates(spark):
 
 def test_rare_compounds_divided_at_a_line_end_stay(spark, monkeypatch):
     # More compounds than the sample for the fit holds.
-    monkeypatch.setattr(scan_noise, "MOST_COMPOUNDS", 1)
+    monkeypatch.setattr(scan_noise, "FIT_COMPOUNDS", 1)
     lines = ["a well-known tale of the river-bank by the river-bank and the river-bank is well-known", "the sea was well-", "known to all"]
     pages = table(spark, [(1, "s", 1, "\n".join(lines))], "extract_id long, source_id string, page int, text string")
-    models = scan_noise._prepare(pages)[1]
-    assert "well-known" in models.compounds and not models.dividing("well", "-", "known")
     assert not scan_noise.defects(pages).where("defect = 'hyphen'").count()
 
 
+def test_forms_an_edit_apart_share_a_rare_gram(spark):
+    rng = random.Random(8)
+    forms = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(300)}
+    grams = {r["form"]: set(r["grams"]) for r in scan_noise._rarest(table(spark, [(f,) for f in sorted(forms)], "form string")).collect()}
+
+    def near(a, b):  # one replaced, left out or put in
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    pairs = [(a, b) for a in forms for b in forms if a < b and near(a, b)]
+    assert len(pairs) > 300
+    assert sum(bool(grams[a] & grams[b]) for a, b in pairs if min(len(a), len(b)) > 3) == sum(min(len(a), len(b)) > 3 for a, b in pairs)
+
+
+def test_signs_are_learned(spark):
+    rng = random.Random(2)
+    true = ["".join(rng.choice("aeiorstlnm") for _ in range(8)) for _ in range(200)]
+    counts = {w: 100 for w in true} | {w[:3] + "7" + w[4:]: 2 for w in true if w[3] == "t"} | {w[:4] + "4" + w[5:]: 1 for w in true if w[4] == "a"}
+    lexicon = table(spark, sorted(counts.items()), "word string, n long")
+    learned = scan_noise.learned_signs(lexicon)
+    assert learned["7"] == ["t"] and learned["4"] == ["a"]
+    known = scan_noise.Confusions(learned)
+    assert known.even("s7one") == known.even("stone") and known.between("s7one", "stone") == 1 and known.readings("s7one")[0][0] == "stone"
+
+
 # 2. Visual form
 
 
