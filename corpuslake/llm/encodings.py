@@ -3,7 +3,8 @@
 Garbled passages are joined with all their clean near-twins, passages that are equal in
 ASCII and have the other characters at the same places. Every part outside ASCII of a
 garbled passage votes once, for the pairs of encodings that make it of the same part of
-any twin. The pairs that win votes are the learned transformations; they are applied to
+any twin; parts that stand in clean passages more often than in odd ones have no vote. The
+pairs of the fixed lists of encodings that win votes are the learned transformations; they are applied to
 all records.
 Multibyte readings are recognised by their byte pattern, single-byte readings by whether
 the restored characters fit their neighbours better, by character pairs counted over all
@@ -29,7 +30,7 @@ from corpuslake.session import cut_lineage
 WRITTEN = ("utf-8", "cp1252", "cp1256", "iso8859-6", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac-roman", "cp850")
 READ = ("latin-1", "cp1252", "mac-roman", "cp850", "cp437", "cp1251", "koi8-r", "cp1256", "cp866")
 FAMILIES = [(w, r) for w in WRITTEN for r in READ]
-LEAST_VOTES, LEAST_SHARE, GAIN, LESSER_GAIN = 3, 0.0008, 6.0, 0.5
+LEAST_VOTES, GAIN, LESSER_GAIN = 3, 6.0, 0.5
 _PASSAGE = re.compile("[^ \n\t\r]*[^\x00-\x7f][^ \n\t\r]*")
 _SENTENCE = re.compile("[^.!?\n]+")
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -93,7 +94,6 @@ def misreadings(clean: str) -> dict[str, list[int]]:
 def _cover(votes: list[tuple[str, int]], least: int) -> list[tuple[str, str, int]]:
     """The fewest readings that explain the votes: the one with most first, then those for what is left."""
     left = [({int(i) for i in k.split()}, n) for k, n in votes if k]
-    least = max(least, LEAST_SHARE * sum(n for _, n in left))  # chance agreements grow with the data
     out = []
     while left:
         by: Counter = Counter()
@@ -109,7 +109,8 @@ def _cover(votes: list[tuple[str, int]], least: int) -> list[tuple[str, str, int
 
 
 def _gather(texts: DataFrame) -> DataFrame:
-    """(kind, key, value, n): passages by what is left of them in ASCII and where the rest stood, and pairs of neighbouring characters; counted in each partition first."""
+    """(kind, key, value, n): passages by what is left of them in ASCII and where the rest stood, their parts outside ASCII by the kind of
+    passage they stand in, and pairs of neighbouring characters; counted in each partition first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages: Counter = Counter()
@@ -124,9 +125,9 @@ def _gather(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"kind": "pair", "key": pair.astype(str), "value": "", "n": n})
             for t in texts:
                 if len(_ASCII_LETTER.findall(t)) * 3 > len(t):
-                    passages.update(p for p in _PASSAGE.findall(t) if len(p) < 60)
+                    passages.update(_PASSAGE.findall(t))
                 else:
-                    passages.update(s.strip() for s in _SENTENCE.findall(t) if any(c.isdigit() for c in s) and len(s) < 300)
+                    passages.update(s.strip() for s in _SENTENCE.findall(t))
             if len(passages) > 100_000:
                 yield _passage_rows(passages)
                 passages = Counter()
@@ -137,7 +138,12 @@ def _gather(texts: DataFrame) -> DataFrame:
 
 def _passage_rows(passages: Counter) -> pd.DataFrame:
     rows = [("odd" if _ODD.search(p) else "clean", _NON_ASCII.sub("\ufffd", p), p, n) for p, n in passages.items()]
+    parts: Counter = Counter()
+    for kind, _, p, n in rows:
+        for x in _NON_ASCII.findall(p):
+            parts[kind, x] += n
     rows = [r for r in rows if len(re.sub("[^A-Za-z0-9]", "", r[1])) >= 3]
+    rows += [("part", x, kind, n) for (kind, x), n in parts.items()]
     return pd.DataFrame(rows, columns=["kind", "key", "value", "n"]).astype({"kind": "object", "key": "object", "value": "object", "n": "int64"})
 
 
@@ -295,7 +301,9 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> tuple[Repairer, list[tu
     made = clean.mapInPandas(split, "key string, at int, part string").distinct().mapInPandas(read, "key string, at int, part string, ids array<int>")
     # Parts that no garbled passage has at this place are dropped before the shuffle where the other side is small.
     made = made.join(parts.distinct(), place, "left_semi").groupBy(place).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))), " ").alias("families"))
-    votes = parts.join(made, place).withColumn("n", F.lit(1))
+    # A part that stands more often in clean passages than in odd ones is sound where it meets a twin by chance, and votes for nothing.
+    sides = gathered.where("kind = 'part'").groupBy(F.col("key").alias("part")).agg(F.sum(F.when(F.col("value") == "odd", F.col("n")).otherwise(-F.col("n"))).alias("odder"))
+    votes = parts.join(made, place).join(sides.where("odder >= 0"), "part").withColumn("n", F.lit(1))
     won = [(r["families"], r["n"]) for r in votes.groupBy("families").agg(F.sum("n").alias("n")).collect()]
     learned = _cover(won, least)
     return Repairer([(w, r) for w, r, _ in learned], pairs), learned
