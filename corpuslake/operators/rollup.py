@@ -57,6 +57,22 @@ def counts_with_zeros(names: DataFrame, rows: DataFrame, on: str, count: str = "
     return names.select(on).distinct().join(by, on, "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
+def counts_with_total(rows: DataFrame, by: str, count: str, total: str = "(all)") -> DataFrame:
+    """Rows of every name and of all together, in one scan; ``whole`` marks the total. Rows without a name count nowhere."""
+    out = rows.where(F.col(by).isNotNull()).rollup(by).agg(F.count("*").alias(count), F.grouping(by).cast("int").alias("whole"))
+    return out.withColumn(by, F.coalesce(by, F.lit(total)))
+
+
+def members(rows: DataFrame, by: str, member: str, names: str, count: str) -> DataFrame:
+    """(by, names, count): the different members of every group, sorted, and its rows; a null group is a group."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_set(member)).alias(names), F.count("*").alias(count))
+
+
+def histogram(rows: DataFrame, by: str, count: str, **filled: str) -> DataFrame:
+    """Rows by the values of a column; each further name counts those whose named column isn't null."""
+    return rows.groupBy(by).agg(F.count("*").alias(count), *(F.count(c).alias(name) for name, c in filled.items()))
+
+
 def metadata_map(rows: DataFrame, names: DataFrame) -> DataFrame:
     """(collection_id, metadata): key-value rows as a map, the first filled one of their four value columns as text; names without rows get an empty map."""
     value = F.coalesce("str_value", F.col("int_value").cast("string"), F.col("float_value").cast("string"), F.col("bool_value").cast("string"))

@@ -41,6 +41,11 @@ def stale(stored: DataFrame, arriving: DataFrame) -> DataFrame:
     return stored.join(arriving.select("source_id").distinct(), "source_id", "left_semi").join(arriving.select("id"), "id", "left_anti")
 
 
+def orphans(names: DataFrame, rows: DataFrame, key: str = "source_id") -> DataFrame:
+    """The different keys of ``names`` for which ``rows`` holds nothing; a null key is one of them."""
+    return names.select(key).distinct().join(rows.select(key), key, "left_anti")
+
+
 def delete_ids(stored: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, one row with the number deleted)."""
     asked = ids.select("id").where("id is not null").distinct()

@@ -77,11 +77,11 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
-@query("knn_traced", _knn_sql("list_cosine_distance(q.v, b.v)").replace("round(distance, 5) + 0.0 AS distance", "round(1 - round(distance, 9), 5) AS similarity"))
+@query("knn_traced", _knn_sql("list_cosine_distance(q.v, b.v)").replace("round(distance, 5) + 0.0 AS distance", "round(1 - distance, 6) AS similarity"))
 def knn_traced(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "embeddings")
     hits = search.knn(e, e.where("vec_id % 20 = 0"), 10, "cosine", key="vec_id")
-    return hits.select("query_id", "rank", "id", F.round(1 - F.round("distance", 9), 5).alias("similarity"))
+    return hits.select("query_id", "rank", "id", search.similarity(F.col("distance")).alias("similarity"))
 
 
 @query("l2_normalized", "SELECT vec_id, round(list_aggregate(list_transform(embedding::DOUBLE[], lambda x: 0.5 * x / sqrt(list_dot_product(list_transform(embedding::DOUBLE[], lambda y: 0.5 * y), list_transform(embedding::DOUBLE[], lambda y: 0.5 * y)))), 'sum'), 6) AS total, len(embedding) AS dims FROM embeddings")
@@ -212,8 +212,7 @@ def browse_contains_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("point_lookup", "SELECT c.id, c.seq, len(v.embedding) AS dims FROM chunks c JOIN (SELECT id, max(embedding) AS embedding FROM chunk_vectors GROUP BY id) v USING (id) WHERE c.seq = 1")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    v = _read(spark, d, "chunk_vectors").groupBy("id").agg(F.max("embedding").alias("embedding"))
-    return _read(spark, d, "chunks").where("seq = 1").join(v, "id").select("id", "seq", V.stored_dimensions(F.col("embedding")).cast("bigint").alias("dims"))
+    return browse.lookup(_read(spark, d, "chunks"), _read(spark, d, "chunk_vectors"), F.col("seq") == 1).select("id", "seq", F.col("dims").cast("bigint").alias("dims"))
 
 
 @query("scope_or", f"WITH {CURRENT} SELECT id, notebook_id, source_id FROM cur WHERE notebook_id IN ('nb_shared_library') OR source_id IN (SELECT min(source_id) FROM sources)")
@@ -247,14 +246,12 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("collection_segments", "SELECT collection, to_json(list_sort(list(DISTINCT notebook_id) FILTER (WHERE notebook_id IS NOT NULL))) AS notebooks, count(*) AS sources FROM sources GROUP BY collection")
 def collection_segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "sources").groupBy("collection").agg(F.array_sort(F.collect_set("notebook_id")).alias("n"), F.count("*").alias("sources"))
-    return rows.select("collection", F.to_json("n").alias("notebooks"), "sources")
+    return rollup.members(_read(spark, d, "sources"), "collection", "notebook_id", "notebooks", "sources").withColumn("notebooks", F.to_json("notebooks"))
 
 
 @query("health_counts", "SELECT coalesce(collection, '(all)') AS collection, count(*) AS sources, grouping(collection)::INT AS whole FROM sources WHERE collection IS NOT NULL GROUP BY ROLLUP (collection)")
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "sources").where("collection is not null").rollup("collection").agg(F.count("*").alias("sources"), F.grouping("collection").cast("int").alias("whole"))
-    return rows.withColumn("collection", F.coalesce("collection", F.lit("(all)")))
+    return rollup.counts_with_total(_read(spark, d, "sources"), "collection", "sources")
 
 
 @query("metadata_map", """SELECT source_id AS collection_id, file_name, CAST(page_count AS VARCHAR) AS page_count, lang FROM sources""")
@@ -268,7 +265,7 @@ def metadata_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("orphans", "SELECT DISTINCT source_id FROM page_text WHERE source_id NOT IN (SELECT source_id FROM chunks WHERE source_id IS NOT NULL)")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "page_text").select("source_id").distinct().join(_read(spark, d, "chunks").select("source_id"), "source_id", "left_anti")
+    return ingest.orphans(_read(spark, d, "page_text"), _read(spark, d, "chunks"))
 
 
 @query("usage_cost", """SELECT kind, count(*) AS calls, count(*) FILTER (WHERE finish_reason = 'error') AS failures, sum(coalesce(prompt_tokens, 0))::BIGINT AS prompt_tokens, sum(coalesce(completion_tokens, 0))::BIGINT AS completion_tokens,
@@ -442,7 +439,7 @@ def vision_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("status_histogram", f"WITH {_PLANNED} SELECT status, count(*) AS pages, count(*) FILTER (WHERE place <= 4) AS planned FROM n GROUP BY status")
 def status_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return pages.plan_vision(_planned(spark, d), 4).groupBy("status").agg(F.count("*").alias("pages"), F.count("kind").alias("planned"))
+    return rollup.histogram(pages.plan_vision(_planned(spark, d), 4), "status", "pages", planned="kind")
 
 
 @query("figure_detection", """WITH i AS (SELECT source_id, page, images AS key, images * 0.05 AS area, 20.0 - images AS contrast FROM extracted_pages WHERE page IS NOT NULL),
@@ -577,8 +574,23 @@ def owner_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("move_report", f"WITH {CURRENT} SELECT n.notebook_id, count(c.id) AS chunks FROM (VALUES ('nb_shared_library'), ('nb_absent')) n(notebook_id) LEFT JOIN cur c USING (notebook_id) GROUP BY n.notebook_id")
 def move_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _current(spark, d).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
-    return ingest.moved(rows, rows.limit(0), ["nb_shared_library", "nb_absent", "nb_shared_library "])[2]
+    return ingest.moved(*_halves(spark, d), ["nb_shared_library", "nb_absent", "nb_shared_library "])[2]
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _current(spark, d).withColumn("embedding", F.array(F.lit(3.0), F.lit(4.0)))
+    return rows, rows.where("notebook_id is null or chunk_index = 1").withColumn("source", F.lit("kept"))
+
+
+@query("move_target", f"WITH {CURRENT} SELECT id, coalesce(source, '') AS source, 0.6::DOUBLE AS first FROM cur WHERE notebook_id = 'nb_shared_library' UNION ALL SELECT id, 'kept', 3.0::DOUBLE FROM cur WHERE (notebook_id IS NULL OR chunk_index = 1) AND coalesce(notebook_id, '') <> 'nb_shared_library'")
+def move_target(spark: SparkSession, d: str) -> DataFrame:
+    after = ingest.moved(*_halves(spark, d), ["nb_shared_library"])[1]
+    return after.select("id", F.coalesce("source", F.lit("")).alias("source"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query("move_source", f"WITH {CURRENT} SELECT id FROM cur WHERE notebook_id IS DISTINCT FROM 'nb_shared_library'")
+def move_source(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.moved(*_halves(spark, d), ["nb_shared_library"])[0].select("id")
 
 
 @query("chunk_ids", "SELECT seq, printf('%s:%05d', source_id, chunk_index) AS id FROM chunks WHERE chunk_index IS NOT NULL")
