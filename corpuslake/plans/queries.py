@@ -130,7 +130,11 @@ def rerank_apply(spark: SparkSession, d: str) -> DataFrame:
     return search.rerank(rows, replies, "query_id").select("query_id", "rank", "id", "new_rank", "delta")
 
 
-@query("lexical_rerank")
+_WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query("lexical_rerank", f"""WITH {_LISTS}, {CURRENT}, j AS (SELECT l.query_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank, c.content) AS n, {_WORDS_SQL.format('c.content')} AS cw, {_WORDS_SQL.format('q.content')} AS qw FROM lists l JOIN cur c ON c.id = l.id JOIN cur q ON q.id = l.query_id)
+    SELECT query_id, '{{"order":[' || string_agg(n, ',' ORDER BY len(list_intersect(cw, qw)) DESC, n) || ']}}' AS reply FROM j GROUP BY query_id""")
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = _lists(spark, d).join(_current(spark, d).select("id", "content"), "id")
     asked = _current(spark, d).select(F.col("id").alias("query_id"), F.col("content").alias("question"))
@@ -397,11 +401,13 @@ def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return files.extract_text(rows).select("doc_id", F.md5("text").alias("text"))
 
 
-@query("html_text")
+@query("html_text", f"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_concat([coalesce(title, '')], str_split(translate(coalesce(text, ''), '<>&', '   '), {_NL})), lambda x: regexp_replace(regexp_replace(x, '^{SPACE_SQL}+', ''), '{SPACE_SQL}+$', '')), lambda x: x <> '') AS lines FROM documents)
+    SELECT doc_id, md5(array_to_string(lines, {_NL})) AS text FROM l""")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>b{}</style></head><body><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "\\n+", "</p><p>"), F.lit("</p></body></html>"))
+    text = F.translate(F.coalesce("text", F.lit("")), "<>&", "   ")
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>b{}</style><script>if (1) {}</script></head><body><!-- x --><p>"), F.regexp_replace(text, "\\n", "</p><br/><p class='c'>"), F.lit("</p></body></html>"))
     rows = _read(spark, d, "documents").select("doc_id", F.lit("page.html").alias("file_name"), F.encode(page, "utf-8").alias("content"))
-    return files.extract_text(rows).select("doc_id", "text")
+    return files.extract_text(rows).select("doc_id", F.md5("text").alias("text"))
 
 
 @query("format_dispatch", "SELECT source_id, CASE WHEN regexp_matches(lower(coalesce(file_name, '')), '\\.[^.]+$') THEN regexp_extract(lower(file_name), '\\.([^.]+)$', 1) ELSE '' END AS extension FROM sources")
@@ -506,6 +512,17 @@ def default_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.default_chunks(_read(spark, d, "documents"), "doc_id", "text")
 
 
+@query("default_chunks_of_words", """WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '[\\n.]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, str_split(t, ' ') AS ws FROM t WHERE length(t) > 300),
+    s AS (SELECT doc_id, ws, 1 AS i, 0 AS chunk, ws[1] AS cur FROM w
+        UNION ALL SELECT doc_id, ws, i + 1, chunk + more::INT, CASE WHEN more OR cur = '' THEN ws[i + 1] ELSE cur || ' ' || ws[i + 1] END FROM (SELECT *, cur <> '' AND length(cur) + 1 + length(ws[i + 1]) > 300 AS more FROM s WHERE i < len(ws))),
+    c AS (SELECT doc_id, chunk, arg_max(cur, i) AS content FROM s GROUP BY doc_id, chunk UNION ALL SELECT doc_id, 0, t FROM t WHERE length(t) <= 300),
+    n AS (SELECT doc_id, chunk, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM c WHERE content <> '' OR chunk = 0)
+    SELECT doc_id, chunk AS chunk_index, md5(coalesce(right(before, 100), '') || content) AS content FROM n""")
+def default_chunks_of_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[\\n.]+", " ").alias("text"))
+    return chunking.default_chunks(rows, "doc_id", "text", 300, 100).select("doc_id", "chunk_index", F.md5("content").alias("content"))
+
+
 @query("pages_chunks")
 def pages_chunks(spark: SparkSession, d: str) -> DataFrame:
     cleaned = _read(spark, d, "page_text").withColumn("text", T.clean_text(F.col("text")))
