@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from corpuslake.session import cut_lineage
 
+#: Document keys that may be sent to every task, 8 bytes each; beyond it they meet the texts in the shuffle.
+MOST_KEYS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,10 +99,15 @@ def _paths(docs: DataFrame, span: int, k: int) -> DataFrame:
     begins = joined.select("doc", "page", "pos", "edge", F.when(F.coalesce(solid, F.lit(False)), 0).otherwise(1).alias("begin"))
     begins = begins.withColumn("nr", F.sum("begin").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = begins.groupBy("doc", "page", "nr").agg(F.min_by("edge", "pos").alias("path"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+    # Only texts that hold a path are needed. Their keys are sent to all tasks if they are few, so that other texts stay out of the shuffle.
+    spans, texts = cut_lineage(spans), docs.select("doc", "text")
+    holders = spans.select("doc").distinct()
+    if holders.count() <= MOST_KEYS:
+        texts = texts.join(F.broadcast(holders), "doc", "left_semi")
     side = span - k
     left = F.substring("text", F.greatest(F.lit(0), F.col("start") - side) + 1, F.least(F.lit(side), F.col("start")))
     right = F.substring("text", F.col("end") + k + 1, F.lit(side))
-    return spans.join(docs.select("doc", "text"), "doc").select("path", "doc", "page", "start", "end", left.alias("left"), right.alias("right"))
+    return spans.join(texts, "doc").select("path", "doc", "page", "start", "end", left.alias("left"), right.alias("right"))
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", group: str = "page_id", text: str = "text", span: int = 200, k: int = 100) -> DataFrame:
