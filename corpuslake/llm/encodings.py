@@ -30,6 +30,8 @@ from corpuslake.session import cut_lineage
 WRITTEN = ("utf-8", "cp1252", "cp1256", "iso8859-6", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac-roman", "cp850")
 READ = ("latin-1", "cp1252", "mac-roman", "cp850", "cp437", "cp1251", "koi8-r", "cp1256", "cp866")
 FAMILIES = [(w, r) for w in WRITTEN for r in READ]
+#: Outcomes of misreading (two parts and a few numbers) that may be sent to every task; beyond it they are met by a shuffle.
+MOST_OUTCOMES = 500_000
 LEAST_VOTES, GAIN, LESSER_GAIN = 3, 6.0, 0.5
 _PASSAGE = re.compile("[^ \n\t\r]*[^\x00-\x7f][^ \n\t\r]*")
 _SENTENCE = re.compile("[^.!?\n]+")
@@ -292,14 +294,18 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> tuple[Repairer, list[tu
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a in range(0, len(b), 1000):
-                c = b.iloc[a : a + 1000]
-                rows = [(k, i, x, ids) for k, i, y in zip(c["key"], c["at"], c["part"], strict=True) for x, ids in misreadings(y).items()]
-                yield pd.DataFrame(rows, columns=["key", "at", "part", "ids"])
+                rows = [(y, x, ids) for y in b["part"].iloc[a : a + 1000] for x, ids in misreadings(y).items()]
+                yield pd.DataFrame(rows, columns=["part", "garbled", "ids"])
 
     place = ["key", "at", "part"]
-    parts = odd.mapInPandas(split, "key string, at int, part string")
-    made = clean.mapInPandas(split, "key string, at int, part string").distinct().mapInPandas(read, "key string, at int, part string, ids array<int>")
-    # Parts that no garbled passage has at this place are dropped before the shuffle where the other side is small.
+    parts = cut_lineage(odd.mapInPandas(split, "key string, at int, part string"))
+    places = cut_lineage(clean.mapInPandas(split, "key string, at int, part string").distinct())
+    # What becomes of a part doesn't depend on its place: each different part is misread once, and kept are outcomes that some garbled passage shows.
+    outcomes = places.select("part").distinct().mapInPandas(read, "part string, garbled string, ids array<int>")
+    outcomes = cut_lineage(outcomes.join(parts.select(F.col("part").alias("garbled")).distinct(), "garbled", "left_semi"))
+    if outcomes.count() <= MOST_OUTCOMES:
+        outcomes = F.broadcast(outcomes)
+    made = places.join(outcomes, "part").select("key", "at", F.col("garbled").alias("part"), "ids")
     made = made.join(parts.distinct(), place, "left_semi").groupBy(place).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))), " ").alias("families"))
     # A part that stands more often in clean passages than in odd ones is sound where it meets a twin by chance, and votes for nothing.
     sides = gathered.where("kind = 'part'").groupBy(F.col("key").alias("part")).agg(F.sum(F.when(F.col("value") == "odd", F.col("n")).otherwise(-F.col("n"))).alias("odder"))
