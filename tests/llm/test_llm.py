@@ -463,7 +463,7 @@ def spans_by_force(docs, n):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_shared_spans_against_brute_force(spark, seed):
+def test_shared_spans_against_brute_force(spark, monkeypatch, seed):
     rng = random.Random(seed)
     alphabet = "abc "
     base = ["".join(rng.choice(alphabet) for _ in range(600)) for _ in range(6)]
@@ -478,6 +478,8 @@ def test_shared_spans_against_brute_force(spark, seed):
     assert {(r["doc_a"], r["doc_b"]) for r in rows} == spans_by_force(docs, 60)
     text = {k: t for k, _, t in docs}
     assert all(text[r["doc_a"]][r["start_a"] : r["start_a"] + r["length"]] == text[r["doc_b"]][r["start_b"] : r["start_b"] + r["length"]] for r in rows)
+    monkeypatch.setattr(long_spans, "MOST_KEYS", 0)  # the way without a broadcast
+    assert sorted(map(tuple, long_spans.shared_spans(df, span=60, k=30).collect())) == sorted(map(tuple, rows))
     shares = {r["doc_id"]: r for r in long_spans.shared_part(df, spans).collect()}
     assert shares[202]["shared_share"] == 1.0 and shares[201]["shared_share"] == 0.0
     assert long_spans.shared_spans(df.limit(0), span=60, k=30).count() == 0
