@@ -17,7 +17,7 @@ meets the full vectors by a join. Vectors that ask in a cell are divided among t
 their number, so a cell that many visit is no hot spot.
 
 Exact copies are searched once: one representative with its least ``k + 1`` ids stands
-for them, which is all that any list of k neighbours can use.
+for them, which is all that any list of k neighbours can use. Each copy has a list itself.
 """
 
 from __future__ import annotations
@@ -139,19 +139,20 @@ def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def search(queries: np.ndarray, base: np.ndarray, w: np.ndarray, k: int, radius: np.ndarray | float | None, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, base row, cosine distance) of the k nearest of ``base``, none beyond ``radius`` (a cosine distance, one for all or one each)."""
+    """(query row, base row, cosine distance to nine digits) of the k nearest of ``base``, of equal ones the first rows, none beyond ``radius`` (a cosine distance, one for all or one each)."""
     if not len(queries) or not len(base):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     factor = chi_square_quantile(stop, w.shape[1])
     pq, pb = (queries @ w).astype(np.float32), (base @ w).astype(np.float32)
     nq, nb = (pq * pq).sum(axis=1), (pb * pb).sum(axis=1)
-    most = np.full(len(queries), np.inf if radius is None else radius, np.float32) + np.float32(1e-6)
+    fine_q, fine_b = _fine(queries), _fine(base)
+    most = np.full(len(queries), np.inf if radius is None else radius, np.float64)
     leaves = _leaves(pb, LEAF)
     centres = np.stack([pb[x].mean(axis=0) for x in leaves])
     out = []
     for asking in _leaves(pq, LEAF):
-        best = np.full((len(asking), k), np.inf, np.float32)
-        who = np.full((len(asking), k), -1, np.int64)
+        best = np.full((len(asking), k), np.inf)
+        who = np.full((len(asking), k), len(base), np.int64)
         limit = most[asking].copy()
         for leaf in (leaves[i] for i in np.argsort(((centres - pq[asking].mean(axis=0)) ** 2).sum(axis=1), kind="stable")):
             # The stopping test: what is projected beyond this is not likely to be closer than the k-th so far.
@@ -161,24 +162,42 @@ def search(queries: np.ndarray, base: np.ndarray, w: np.ndarray, k: int, radius:
                 continue
             able = able[rows]
             cols = np.flatnonzero(able.any(axis=0))
-            d = np.where(able[:, cols], 1 - queries[asking[rows]] @ base[leaf[cols]].T, np.inf)
-            d = np.concatenate([best[rows], np.where(d <= most[asking[rows], None], d, np.inf)], axis=1)
-            names = np.concatenate([who[rows], np.broadcast_to(leaf[cols], (len(rows), len(cols)))], axis=1)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(k), (len(rows), k))
-            best[rows], who[rows] = np.take_along_axis(d, near, axis=1), np.take_along_axis(names, near, axis=1)
-            limit[rows] = np.minimum(most[asking[rows]], best[rows].max(axis=1))
+            d = np.where(able[:, cols], 1 - fine_q[asking[rows]] @ fine_b[leaf[cols]].T, np.inf)
+            # All that may be as near as the k-th take part, so that equal distances are told apart by row.
+            kth = np.minimum(limit[rows], np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.inf)
+            i, j = np.nonzero((d <= kth[:, None] + 1e-9) & able[:, cols])
+            near = np.maximum(np.round(d[i, j], 9), 0)
+            ok = near <= most[asking[rows[i]]]
+            i, j, near = rows[i[ok]], cols[j[ok]], near[ok]
+            if not len(i):
+                continue
+            old = np.unique(i)
+            row = np.concatenate([np.repeat(old, k), i])
+            near, name = np.concatenate([best[old].ravel(), near]), np.concatenate([who[old].ravel(), leaf[j]])
+            order = np.lexsort((name, near, row))
+            row, near, name = row[order], near[order], name[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            first = place < k
+            best[row[first], place[first]], who[row[first], place[first]] = near[first], name[first]
+            limit[old] = np.minimum(most[asking[old]], best[old].max(axis=1))
         i, j = np.nonzero(np.isfinite(best))
-        out.append((asking[i], who[i, j], np.maximum(best[i, j], 0)))
+        out.append((asking[i], who[i, j], best[i, j]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _fine(x: np.ndarray) -> np.ndarray:
+    """Unit vectors with the length that 64 bits can give them."""
+    x = x.astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def _unit(raw: pd.Series) -> np.ndarray:
     x = np.stack([np.frombuffer(v, np.float32) for v in raw]) if len(raw) else np.zeros((0, 1), np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def distinct_vectors(vectors: DataFrame, dims: int, keep: int, key: str = "id", column: str = "embedding") -> DataFrame:
-    """(rep, ids, v): unit vectors without copies; ``ids`` are the least ``keep`` ids that have it, ``rep`` the least.
+def unit_vectors(vectors: DataFrame, dims: int, key: str = "id", column: str = "embedding") -> DataFrame:
+    """(id, v): every id with its unit vector.
 
     Rows with a null id or vector, with a null, infinite or missing element, or without
     length take no part; of an id's differing vectors the greatest counts.
@@ -193,7 +212,15 @@ def distinct_vectors(vectors: DataFrame, dims: int, keep: int, key: str = "id",
             unit = (x[ok] / norm[ok, None]).astype(np.float32)
             yield pd.DataFrame({"id": b["id"][ok], "v": [u.tobytes() for u in unit]})
 
-    rows = fit.mapInPandas(run, "id string, v binary").groupBy("id").agg(F.max("v").alias("v"))
+    return fit.mapInPandas(run, "id string, v binary").groupBy("id").agg(F.max("v").alias("v"))
+
+
+def distinct_vectors(vectors: DataFrame, dims: int, keep: int, key: str = "id", column: str = "embedding") -> DataFrame:
+    """(rep, ids, v): the vectors of ``unit_vectors`` without copies; ``ids`` are the least ``keep`` ids that have it, ``rep`` the least."""
+    return _copies(unit_vectors(vectors, dims, key, column), keep)
+
+
+def _copies(rows: DataFrame, keep: int) -> DataFrame:
     rows = rows.withColumn("h", F.xxhash64("v")).withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("n") <= keep)
     return rows.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "ids", "v")
 
@@ -277,7 +304,7 @@ def nearest(reps: DataFrame, dims: int, k: int, radius: float | None = None, que
                 yield pd.DataFrame({"cell": cell, "part": b["h"].to_numpy()[row] % parts[cell], "base": False, "id": b["id"].to_numpy(object)[row], "v": b["v"].to_numpy(object)[row], "r": b["r"].to_numpy()[row]})
 
         def scan(b: pd.DataFrame) -> pd.DataFrame:
-            own, ask = b[b["base"]], b[~b["base"]]
+            own, ask = b[b["base"]].sort_values("id"), b[~b["base"]]
             i, j, d = search(_unit(ask["v"]), _unit(own["v"]), w, k + 1, ask["r"].to_numpy(np.float32) if most else None, stop)
             q, rep = ask["id"].to_numpy(object)[i], own["id"].to_numpy(object)[j]
             other = q != rep
@@ -309,7 +336,7 @@ def nearest(reps: DataFrame, dims: int, k: int, radius: float | None = None, que
                 yield pd.DataFrame({"cell": cell, "part": h[row] % parts[cell], "role": 2, "id": ids[row], "v": p[row]})
 
         def scan(b: pd.DataFrame) -> pd.DataFrame:
-            own, ask, far = b[b["role"] < 2], b[b["role"] == 1], b[b["role"] == 2]
+            own, ask, far = b[b["role"] < 2].sort_values("id"), b[b["role"] == 1], b[b["role"] == 2]
             x, names = _unit(own["v"]), own["id"].to_numpy(object)
             i, j, d = search(_unit(ask["v"]), x, w, k + 1, r, stop)
             out = [pd.DataFrame({"q": ask["id"].to_numpy(object)[i], "rep": names[j], "distance": d.astype(np.float64), "v": None})]
@@ -325,8 +352,8 @@ def nearest(reps: DataFrame, dims: int, k: int, radius: float | None = None, que
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                d = np.maximum(1 - np.einsum("ij,ij->i", _unit(b["mine"]), _unit(b["v"])), 0) if len(b) else np.zeros(0)
-                ok = d <= r + 1e-6
+                d = np.maximum(np.round(1 - np.einsum("ij,ij->i", _fine(_unit(b["mine"])), _fine(_unit(b["v"]))), 9), 0) if len(b) else np.zeros(0)
+                ok = d <= r
                 yield pd.DataFrame({"q": b["q"][ok], "rep": b["rep"][ok], "distance": d[ok].astype(np.float64)})
 
         found = rows.mapInPandas(place, "cell bigint, part bigint, role int, id string, v binary").groupBy("cell", "part").applyInPandas(scan, "q string, rep string, distance double, v binary")
@@ -377,11 +404,15 @@ def mutual_pairs(vectors: DataFrame, dims: int = 64, k: int = 5, radius: float =
 def neighbour_lists(vectors: DataFrame, dims: int = 64, k: int = 10, one_in: int = 20, stop: float = 0.97, miss: float = 0.001, **options) -> DataFrame:
     """(id, rank, near, distance) for the stated query set, every id whose hash is divisible by ``one_in``, against all vectors.
 
-    ``stop`` and ``miss`` are the accepted loss: how sure the stopping test must be, and how
+    Every id of the query set has a list, whatever the number of its copies; equal distances,
+    to nine digits, are ordered by id. ``stop`` and ``miss`` are the accepted loss: how sure the stopping test must be, and how
     likely a neighbour in a cell that isn't visited may be.
     """
-    reps = cut_lineage(distinct_vectors(vectors, dims, k + 1))
-    asked = reps.select("rep", "v", F.explode("ids").alias("id")).where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+    rows = cut_lineage(unit_vectors(vectors, dims))
+    reps = cut_lineage(_copies(rows, k + 1))
+    # Copies beyond those that lists can hold ask as well; their rows meet their representative.
+    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).withColumn("h", F.xxhash64("v"))
+    asked = cut_lineage(asked.join(reps.select("rep", F.xxhash64("v").alias("h"), "v"), ["h", "v"]).select("rep", "v", "id"))
     links = nearest(reps, dims, k, None, asked.select("rep", "v").distinct(), stop, miss, **options)
     own = asked.select("rep", "id")
     lists = _expand(reps, links, k)

@@ -288,6 +288,21 @@ def test_hot_cells_are_divided(spark):
     assert sorted((r["id_a"], r["id_b"]) for r in neighbours.mutual_pairs(df, cell=100, sample=400, most_asking=30).collect()) == plain and plain
 
 
+def test_every_copy_has_a_list_and_ties_go_by_id(spark):
+    # 30 copies of a vector, its multiples that differ in their last bits, and 64 vectors equally far from each other.
+    rng = np.random.default_rng(4)
+    v = -rng.uniform(0.1, 1, 64).astype(np.float32)
+    x = np.concatenate([np.tile(v, (30, 1)), np.stack([v * np.float32(f) for f in rng.uniform(0.1, 9, 40)]), np.eye(64, dtype=np.float32)])
+    ids = [f"v{i:03d}" for i in rng.permutation(len(x))]
+    df = table(spark, [(i, [float(c) for c in e]) for i, e in zip(ids, x, strict=True)], "id string, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    d = np.maximum(np.round(1 - u @ u.T, 9), 0)
+    want = {(ids[i], r, ids[j]) for i in range(len(x)) for r, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], ids[j]))[:10], 1)}
+    got = neighbours.neighbour_lists(df, one_in=1, stop=1 - 1e-12, miss=0.0).collect()
+    assert {r["id"] for r in got} == set(ids)
+    assert {(r["id"], r["rank"], r["near"]) for r in got} == want
+
+
 def test_neighbours_of_nothing(spark):
     _, df = vectors(spark, 30)
     assert neighbours.mutual_pairs(df.limit(0)).count() == 0
