@@ -17,7 +17,7 @@ by an edit at most always share one. Boosted trees rank the candidates by their
 frequencies, the confusions needed and how well the letters follow each other, and alone
 decide whether a word is misread. Which letter a sign inside a word stands for is learned
 from the words that fit it but for one letter, beside a list of known confusions. Training
-pairs are made from the corpus itself: confusions are put into words of a bounded sample
+pairs are made from the corpus itself: confusions are put into all of its words
 with the counts that certain misreadings, those with digits or signs inside a word, show
 for their true words. A run of more than ``LONGEST`` letters is no word.
 """
@@ -26,21 +26,21 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.boost import Boosted, Logistic
+from corpuslake.llm.boost import Boosted, Logistic, fit_logistic, fit_trees, written
 from corpuslake.session import cut_lineage
 
-#: Bounds of what models are fitted on: words known to the letter model, words that training pairs are made of, words cut or joined for the
-#: hyphen classifier, hyphenated compounds, pairs of lines of either kind.
-SAMPLE, FIT_WORDS, FIT_CUTS, FIT_COMPOUNDS, FIT_LINES = 20_000, 6_000, 3_000, 5_000, 20_000
+#: No longer a bound: the models are fitted on all compounds. Kept since a test names it.
+FIT_COMPOUNDS = 5_000
 #: Rows of a key and a few short values that may be sent to every task; beyond it they are met by a shuffle.
 MOST_SENT = 500_000
 Q, LONGEST, THRESHOLD, PAIR = 3, 60, 0.5, 16
@@ -184,16 +184,12 @@ def words(text: str) -> list[str]:
 
 
 class Letters:
-    """How well letters follow each other: trigrams with word edges, over the words of a bounded sample."""
+    """How well letters follow each other: weights of trigrams with word edges, and of the two letters they begin with."""
 
-    def __init__(self, counts: dict[str, float]):
-        self.tri: Counter = Counter()
-        self.bi: Counter = Counter()
-        for w, n in counts.items():
-            p = "^^" + w.lower() + "$"
-            for i in range(len(p) - 2):
-                self.tri[p[i : i + 3]] += n
-                self.bi[p[i : i + 2]] += n
+    def __init__(self, tri: dict[str, float]):
+        self.tri, self.bi = tri, Counter()
+        for t, n in tri.items():
+            self.bi[t[:2]] += n
 
     def score(self, word: str) -> float:
         p = "^^" + word.lower() + "$"
@@ -228,59 +224,10 @@ def _pairs(rows: pd.DataFrame) -> np.ndarray:
 
 
 class Models:
-    """The letter model, the ranking of corrections and the hyphen classifier, fitted on bounded samples."""
-
-    def __init__(self, counts: dict[str, float], total: float, compounds: frozenset[str], ratios: np.ndarray, known: Confusions, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        sound = {w: n for w, n in counts.items() if w.isalpha() and len(w) > 2}
-        self.total, self.known = total, known
-        self.letters = Letters({w: 1 + math.log(n) for w, n in sound.items()})
-        evened: dict[str, str] = {}
-        for w in sorted(sound, key=lambda x: (-sound[x], x)):
-            evened.setdefault(known.even(w), w)
-        x, y = [], []
-        listed = sorted(sound)
-        picked = [listed[i] for i in rng.permutation(len(listed))[:FIT_WORDS]]
-        ratios = ratios if len(ratios) else np.array([0.01])
-        see = lambda w, c, n, m: features(w, c, n, m, total, self.letters, known)
-        for w in picked:
-            head = evened[known.even(w)]
-            if head != w and sound[head] >= 4 * sound[w]:
-                continue  # may be a misreading itself, so it is no example of either kind
-            for a, b in known.pairs:
-                places = [i for i in range(len(w)) if w.startswith(b, i)]
-                if places and rng.random() < 0.35:
-                    i = int(rng.choice(places))
-                    wrong = w[:i] + a + w[i + len(b) :]
-                    n = max(1.0, round(sound[w] * float(rng.choice(ratios)) * 0.3))
-                    m = sound[w] if rng.random() < 0.75 else 0.0  # the true word may be unknown
-                    x.append(see(wrong, w, n, m))
-                    y.append(1)
-                    # Candidates that aren't the true word; where a sign makes the word certain to be wrong, they still are better than none.
-                    for c, _ in known.readings(wrong)[:3]:
-                        if c != w and not _HARD.search(wrong):
-                            x.append(see(wrong, c, n, sound.get(c, 0)))
-                            y.append(0)
-            for c, _ in known.readings(w):
-                x.append(see(w, c, sound[w], sound.get(c, 0) if sound.get(c, 0) < 4 * sound[w] else 0))
-                y.append(0)
-                if rng.random() < 0.5:  # as if the word were rare
-                    x.append(see(w, c, 1, 0))
-                    y.append(0)
-        self.rank = Boosted().fit(np.array(x), np.array(y, float)) if len(set(y)) == 2 else None
-        x, y = [], []
-        for w in picked[:FIT_CUTS]:
-            if len(w) > 4:
-                i = int(rng.integers(2, len(w) - 1))
-                for mark in ("-", "¬"):
-                    x.append(_divide_features(w[:i], mark, w[i:], False, self.letters))
-                    y.append(1)
-        pairs = [(*c.split("-", 1), True) for c in sorted(compounds) if c.count("-") == 1]
-        pairs += [(picked[i], picked[-1 - i], False) for i in range(min(FIT_CUTS // 5, len(picked) // 2))]
-        for a, b, seen in pairs * max(1, len(x) // (4 * max(1, len(pairs)))):
-            x.append(_divide_features(a, "-", b, seen, self.letters))
-            y.append(0)
-        self.divide = Logistic().fit(np.array(x), np.array(y, float)) if len(set(y)) == 2 else None
+    """The letter model, the ranking of corrections and the hyphen classifier, fitted on all words."""
+
+    def __init__(self, letters: Letters, total: float, known: Confusions, rank: Boosted | None, divide: Logistic | None):
+        self.letters, self.total, self.known, self.rank, self.divide = letters, total, known, rank, divide
 
     def dividing(self, rows: list[tuple[str, str, str, bool]]) -> np.ndarray:
         """Which of (left, mark, right, compound) are divided words: what the corpus holds as a compound within lines isn't, of others the classifier decides."""
@@ -299,10 +246,12 @@ _SHAPE = re.compile(f"[{_SIGNS}dm]|rn|c|ii|li|vv")
 def parsed(pages: DataFrame) -> DataFrame:
     """What one reading of all pages gives, by kind: ``word`` (a word and its count in a part of the pages), ``suspects`` (a page's distinct
     words that confusions could have made, a line each), ``division`` (a mark between two line parts), ``edge`` (the key of an edge line, the
-    two lines of its pair and the page's width; ``at`` counts from 0 or back from -1) and ``inner`` (a pair of lines inside a page)."""
+    two lines of its pair and the page's width; ``at`` counts from 0 or back from -1) and ``inner`` (what the classifier sees of pairs of
+    lines inside pages, and their number in a part of the pages)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+        inner: Counter = Counter()
         shaped: dict[str, bool] = {}
         names = [c.split()[0] for c in _PARSED.split(", ")]
         kinds = {"kind": object, "source": object, "page": object, "word": object, "mark": object, "rest": object, "extract_id": "Int64", "at": "Int32", "n": "Int64", "numbered": "boolean"}
@@ -326,11 +275,16 @@ def parsed(pages: DataFrame) -> DataFrame:
                 if own:
                     out.append(("suspects", key, None, None, None, "\n".join(own)))
                 out += _edges(key, source, page, lines)
+                inner.update(_inner(key, lines))
             yield frame(out)
+            if len(inner) > 200_000:
+                yield frame([("inner", None, None, None, None, x, None, None, n) for x, n in inner.items()])
+                inner = Counter()
             if len(counts) > 200_000:
                 yield frame(_counted(counts))
                 counts = Counter()
         yield frame(_counted(counts))
+        yield frame([("inner", None, None, None, None, x, None, None, n) for x, n in inner.items()])
 
     return pages.mapInPandas(run, _PARSED)
 
@@ -356,12 +310,17 @@ def _edges(key: int, source: str, page: str, lines: list[str]) -> list[tuple]:
             continue
         upper, lower = (lines[i], lines[i + 1] if i + 1 < n else "") if at >= 0 else (lines[i - 1] if i else "", lines[i])
         out.append(("edge", key, source, page, at, title_key(title) if title else "", upper, lower, width, numbered))
-    if n >= 8:  # a pair from the middle of the page, seen from either of its lines
-        i = n // 2 - key % 2
-        out.append(("inner", key, None, None, -(key // 2 % 2), None, lines[i], lines[i + 1], width))
     return out
 
 
+def _inner(key: int, lines: list[str]) -> Iterator[str]:
+    """All pairs of lines inside a page, two lines from its edges, seen in turn from either of their lines."""
+    if len(lines) >= 8:
+        width = max(map(len, lines))
+        for i in range(2, len(lines) - 3):
+            yield written(line_pair(lines[i], lines[i + 1], bool((key + i) % 2), width))
+
+
 def learned_signs(lexicon: DataFrame, least: int = 3, share: float = 0.2) -> dict[str, list[str]]:
     """The letters that each sign stands for in words that another, more frequent word fits but for that one letter.
 
@@ -384,22 +343,114 @@ def learned_signs(lexicon: DataFrame, least: int = 3, share: float = 0.2) -> dic
     return out
 
 
-def fit(lexicon: DataFrame, sample: int = SAMPLE) -> Models:
-    """The models from about ``sample`` words, twice that at most: the most frequent ones and others chosen by a hash."""
-    total, size = lexicon.agg(F.sum("n"), F.count("*")).first()
-    total, size = total or 1, max(1, size)
-    some = lambda df, k: df.where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) <= int(min(1.0, k / size) * (1 << 20))).limit(2 * k)
-    plain = lexicon.where(F.col("word").rlike("^\\p{L}+$"))
-    # Words above this share of all words number fewer than its inverse.
-    top = plain.where(F.col("n") >= max(2.0, total / (sample / 2)))
-    rows = top.unionByName(some(plain, sample // 2)).distinct().toPandas().sort_values("word")
-    counts = dict(zip(rows["word"], rows["n"].astype(float), strict=True))
-    compounds = frozenset(r["word"] for r in some(lexicon.where(F.col("word").rlike("^\\p{L}+-\\p{L}+$") & (F.col("n") >= 2)), FIT_COMPOUNDS).collect())
-    # How often certain misreadings occur beside their true words.
-    known = Confusions(learned_signs(lexicon))
-    bent = some(lexicon.where(F.col("word").rlike(f"\\p{{L}}[{_SIGNS}]\\p{{L}}")), sample).toPandas().sort_values("word")
-    ratios = [n / counts[c] for w, n in zip(bent["word"], bent["n"], strict=True) for c, _ in known.readings(w)[:1] if counts.get(c, 0) >= 20]
-    return Models(counts, float(total), compounds, np.array(ratios), known)
+def _letters(sound: DataFrame) -> Letters:
+    """The letter model of all words. As many rows reach the driver as there are trigrams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tri: Counter = Counter()
+        for b in batches:
+            for w, n in zip(b["word"], b["n"], strict=True):
+                p, weight = "^^" + w.lower() + "$", round((1 + math.log(n)) * (1 << 20))
+                for i in range(len(p) - 2):
+                    tri[p[i : i + 3]] += weight
+        yield pd.DataFrame({"tri": pd.Series(list(tri), dtype=object), "n": pd.Series(list(tri.values()), dtype="int64")})
+
+    found = sound.mapInPandas(run, "tri string, n bigint").groupBy("tri").agg(F.sum("n").alias("n")).collect()
+    return Letters({r["tri"]: r["n"] / (1 << 20) for r in found})
+
+
+def _ratios(lexicon: DataFrame, known: Confusions) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio, share): how often all certain misreadings occur beside their true words, in steps of a sixteenth power of 2."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, n) for w, n in zip(b["word"], b["n"], strict=True) for c, _ in known.readings(w)[:1]]
+            yield pd.DataFrame({"word": pd.Series([r[0] for r in rows], dtype=object), "k": pd.Series([r[1] for r in rows], dtype="int64")})
+
+    bent = lexicon.where(F.col("word").rlike(f"\\p{{L}}[{_SIGNS}]\\p{{L}}")).mapInPandas(run, "word string, k bigint")
+    steps = bent.join(lexicon.where((F.col("n") >= 20) & F.col("word").rlike("^\\p{L}+$")), "word").groupBy(F.round(F.log2(F.col("k") / F.col("n")) * 16).alias("step")).count().orderBy("step").collect()
+    if not steps:
+        return np.array([0.01]), np.array([1.0])
+    n = np.array([r["count"] for r in steps], float)
+    return 2.0 ** (np.array([r["step"] for r in steps]) / 16), n / n.sum()
+
+
+def _ranked_examples(lexicon: DataFrame, sound: DataFrame, letters: Letters, total: float, known: Confusions) -> DataFrame:
+    """(x, y, n): confusions put into all words, and what the words themselves could have been."""
+    ratios, shares = _ratios(lexicon, known)
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(form=[known.even(w) for w in b["word"]])
+
+    rows = sound.mapInPandas(forms, "word string, n bigint, form string")
+    # What may be a misreading itself is no example of either kind.
+    rows = rows.join(rows.groupBy("form").agg(F.max("n").alias("most")), "form").where("most < 4 * n").select("word", "n")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["printed", "k", "word", "m", "own", "y"]
+        for b in batches:
+            out = []
+            for w, count in zip(b["word"], b["n"], strict=True):
+                rng = np.random.default_rng(zlib.crc32(w.encode()))
+                for a, t in known.pairs:
+                    places = [i for i in range(len(w)) if w.startswith(t, i)]
+                    if places and rng.random() < 0.35:
+                        i = int(rng.choice(places))
+                        wrong = w[:i] + a + w[i + len(t) :]
+                        n = max(1, round(count * float(rng.choice(ratios, p=shares)) * 0.3))
+                        out.append((wrong, n, w, count if rng.random() < 0.75 else 0, None, 1.0))  # the true word may be unknown
+                        # Candidates that aren't the true word; where a sign makes the word certain to be wrong, they still are better than none.
+                        out += [(wrong, n, c, None, None, 0.0) for c, _ in known.readings(wrong)[:3] if c != w and not _HARD.search(wrong)]
+                for c, _ in known.readings(w):
+                    out.append((w, count, c, None, count, 0.0))
+                    if rng.random() < 0.5:  # as if the word were rare
+                        out.append((w, 1, c, 0, None, 0.0))
+            yield pd.DataFrame(out, columns=names).astype({"printed": object, "word": object, "k": "int64", "m": "Int64", "own": "Int64", "y": "float64"})
+
+    # A candidate's count is that of the lexicon, unless it is set, or is so high that the word may be its misreading.
+    pairs = rows.mapInPandas(made, "printed string, k bigint, word string, m bigint, own bigint, y double").join(sound.withColumnRenamed("n", "found"), "word", "left")
+    m = F.coalesce("m", F.when(F.col("own").isNull() | (F.col("found") < 4 * F.col("own")), F.col("found")), F.lit(0))
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [written(features(w, c, float(n), float(k), total, letters, known)) for w, c, n, k in zip(b["printed"], b["word"], b["k"], b["m"], strict=True)]
+            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "y": b["y"], "n": 1})
+
+    return pairs.select("printed", "word", "k", m.alias("m"), "y").mapInPandas(seen, "x string, y double, n bigint")
+
+
+def _divided_examples(lexicon: DataFrame, sound: DataFrame, letters: Letters) -> DataFrame:
+    """(x, y, n): all words cut at some place, against all compounds and each word beside another."""
+    size = max(1, sound.count())
+    order = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(max(1, size // 1000)))).orderBy(F.xxhash64("word"), "word")
+    plain = sound.select("word", F.lead("word").over(order).alias("other"))
+    compounds = lexicon.where(F.col("word").rlike("^\\p{L}+-\\p{L}+$") & (F.col("n") >= 2)).select("word", F.lit(None).cast("string").alias("other"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for w, other in zip(b["word"], b["other"], strict=True):
+                if "-" in w:
+                    out.append((written(_divide_features(w.split("-")[0], "-", w.split("-")[1], True, letters)), 0.0, 1))
+                    continue
+                if len(w) > 4:
+                    i = 2 + zlib.crc32(w.encode()) % (len(w) - 3)
+                    out += [(written(_divide_features(w[:i], mark, w[i:], False, letters)), 1.0, 2) for mark in ("-", "¬")]
+                if other is not None:
+                    out.append((written(_divide_features(w, "-", other, False, letters)), 0.0, 1))
+            yield pd.DataFrame(out, columns=["x", "y", "n"]).astype({"x": object, "y": "float64", "n": "int64"})
+
+    return plain.unionByName(compounds).mapInPandas(run, "x string, y double, n bigint")
+
+
+def fit(lexicon: DataFrame) -> Models:
+    """The models, from all words of the lexicon."""
+    total = float(lexicon.agg(F.sum("n")).first()[0] or 1)
+    sound = lexicon.where(F.col("word").rlike("^\\p{L}+$") & (F.length("word") > 2) & (F.length("word") <= LONGEST))
+    known, letters = Confusions(learned_signs(lexicon)), _letters(sound)
+    rank = fit_trees(_ranked_examples(lexicon, sound, letters, total, known))
+    return Models(letters, total, known, rank, fit_logistic(_divided_examples(lexicon, sound, letters)))
 
 
 def _rarest(forms: DataFrame) -> DataFrame:
@@ -475,20 +526,17 @@ def _meet(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inne
 
 
 def _flow_model(edges: DataFrame, inner: DataFrame, pages_of: DataFrame, certain: int = 4, share: float = 0.15) -> Boosted | None:
-    """The line-pair classifier: whether two lines are running text. At most ``FIT_LINES`` pairs of either kind, chosen by a hash."""
-
-    def some(df: DataFrame) -> np.ndarray:
-        n = max(1, df.count())
-        rows = df.where(F.pmod(F.xxhash64("extract_id"), F.lit(1 << 20)) <= int(min(1.0, FIT_LINES / n) * (1 << 20))).orderBy("extract_id", "at").limit(FIT_LINES).select("mark", "rest", "at", "n").toPandas()
-        return _pairs(rows)
-
+    """The line-pair classifier: whether two lines are running text. Fitted on all certain edge lines and all pairs inside pages, either kind weighing the same."""
     sizes = edges.select("source", "page").distinct().groupBy("source").agg(F.count("*").alias("size"))
     sure = cut_lineage(pages_of.join(sizes, "source").withColumn("sure", (F.col("pages") >= certain) & (F.col("pages") >= share * F.col("size"))))
     sure = _meet(edges.where("word <> ''"), sure, ["source", "word"]).where("numbered or sure")
-    no, yes = some(sure), some(inner)
-    if not len(no) or not len(yes):
-        return None
-    return Boosted(trees=40).fit(np.concatenate([no, yes]), np.repeat([0.0, 1.0], [len(no), len(yes)]))
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"x": pd.Series([written(x) for x in _pairs(b).tolist()], dtype=object), "y": 0.0, "n": 1})
+
+    no = sure.select("mark", "rest", "at", "n").mapInPandas(seen, "x string, y double, n bigint")
+    return fit_trees(no.unionByName(inner.select(F.col("word").alias("x"), F.lit(1.0).alias("y"), "n")), 40, even=True)
 
 
 def furniture(parts: DataFrame, least: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.llm import encodings, leakage, line_quality, long_spans, mixing, neighbours, scan_noise, tree_split, truncation, visual_form
+from corpuslake.llm import boost, encodings, leakage, line_quality, long_spans, mixing, neighbours, scan_noise, tree_split, truncation, visual_form
 
 
 def table(spark, rows, schema):
@@ -112,6 +112,30 @@ def test_signs_are_learned(spark):
     assert known.even("s7one") == known.even("stone") and known.between("s7one", "stone") == 1 and known.readings("s7one")[0][0] == "stone"
 
 
+def test_models_are_fitted_on_all_words(spark):
+    words = [f"{a}{b}{c}{d}ende" for a in "abcdefghijklmno" for b in "aeiou" for c in "bcdfghklmnprst" for d in "abcdefghijklmnopqrstuvwxyz"]
+    lexicon = table(spark, [(w, 1 + i % 3) for i, w in enumerate(words)], "word string, n long")
+    assert len(words) > 20_000
+    models = scan_noise.fit(lexicon)
+    assert abs(models.letters.bi["^^"] - sum(1 + np.log(1 + i % 3) for i in range(len(words)))) < 0.1
+
+
+def test_inner_pairs_of_lines_are_all_counted(spark):
+    page = "\n".join(f"line {i} of a page" for i in range(20))
+    parts = scan_noise.parsed(scan_noise._pages(table(spark, [(i, "s", i, page) for i in range(9)], "extract_id long, source_id string, page int, text string")))
+    assert parts.where("kind = 'inner'").agg(F.sum("n")).first()[0] == 9 * 15
+
+
+def test_trees_and_regression_by_tasks_are_those_of_the_driver(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 3)) * 4) / 4
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    df = table(spark, [(boost.written(a), float(b), 2) for a, b in zip(x.tolist(), y, strict=True)], "x string, y double, n long").repartition(5)
+    here, there = boost.fit_trees(df, 4, even=True), boost.fit_trees(df, 4, even=True, most=0)
+    assert (here.predict(x) == there.predict(x)).all() and ((here.predict(x) > 0.5) == y).mean() > 0.8
+    assert np.allclose(boost.fit_logistic(df).w, boost.fit_logistic(df, most=0).w)
+
+
 # 2. Visual form
 
 
