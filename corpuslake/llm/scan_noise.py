@@ -421,7 +421,7 @@ def _ranked_examples(lexicon: DataFrame, sound: DataFrame, letters: Letters, tot
 
 
 def _divided_examples(lexicon: DataFrame, sound: DataFrame, letters: Letters) -> DataFrame:
-    """(x, y, n): all words cut at some place, against all compounds and each word beside another."""
+    """(x, y, n): all words cut at some place, against all compounds and each word beside another, which together weigh a fifth as much."""
     size = max(1, sound.count())
     order = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(max(1, size // 1000)))).orderBy(F.xxhash64("word"), "word")
     plain = sound.select("word", F.lead("word").over(order).alias("other"))
@@ -432,13 +432,13 @@ def _divided_examples(lexicon: DataFrame, sound: DataFrame, letters: Letters) ->
             out = []
             for w, other in zip(b["word"], b["other"], strict=True):
                 if "-" in w:
-                    out.append((written(_divide_features(w.split("-")[0], "-", w.split("-")[1], True, letters)), 0.0, 1))
+                    out.append((written(_divide_features(w.split("-")[0], "-", w.split("-")[1], True, letters)), 0.0, 2))
                     continue
                 if len(w) > 4:
                     i = 2 + zlib.crc32(w.encode()) % (len(w) - 3)
-                    out += [(written(_divide_features(w[:i], mark, w[i:], False, letters)), 1.0, 2) for mark in ("-", "¬")]
+                    out += [(written(_divide_features(w[:i], mark, w[i:], False, letters)), 1.0, 5) for mark in ("-", "¬")]
                 if other is not None:
-                    out.append((written(_divide_features(w, "-", other, False, letters)), 0.0, 1))
+                    out.append((written(_divide_features(w, "-", other, False, letters)), 0.0, 2))
             yield pd.DataFrame(out, columns=["x", "y", "n"]).astype({"x": object, "y": "float64", "n": "int64"})
 
     return plain.unionByName(compounds).mapInPandas(run, "x string, y double, n bigint")
